@@ -36,6 +36,13 @@ def op6_quality_risk_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_groups
+
+    groups = jaccard_groups(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
