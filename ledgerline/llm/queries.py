@@ -21,6 +21,12 @@ def op2_mix_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_ann_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op5_pack_cost_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
