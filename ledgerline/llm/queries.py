@@ -27,6 +27,12 @@ def op3_ann_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op5_pack_cost_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,4 +72,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    from .urls import oracle
+
+    return {"op4_url_reputation": oracle()}
