@@ -165,8 +165,8 @@ def arrays(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U else c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f[0] for f in fields])
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__doc, __tie, text, spans) for every row: spans are [start, bytes) of the text's UTF-8 that earlier strings cover.
+def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """The columns ``keep``, __id, __text and spans for every row: spans are [start, bytes) of the text's UTF-8 that earlier strings cover.
 
     A byte is covered if a ``length``-byte string over it also starts earlier: in a document of smaller id, or earlier in its own.
 
@@ -182,9 +182,11 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("__doc"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
+    whole = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "__id": F.col(id_col).cast("long"), "__text": F.col(text_col)})
     distinct = rows.groupBy("__doc").count().filter("count > 1").isEmpty()
     # Documents of one id are told apart by 32 bits of their text's hash; starts are below 2^31.
-    rows = rows.withColumn("__tie", F.lit(0).cast("long") if distinct else F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF))
+    tie = lambda text: F.lit(0).cast("long") if distinct else F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(0xFFFFFFFF)
+    rows, whole = rows.withColumn("__tie", tie("text")), whole.withColumn("__tie", tie("__text"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,7 +268,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     spans = materialize(spans, "spans")
     release(several, contexts, sorted_)
     free_shuffles(spark)
-    return rows.join(spans, ["__doc", "__tie"], "left").select("__id", "text", "spans")
+    return whole.join(spans, ["__doc", "__tie"], "left").select(*keep, "__id", "__text", "spans")
 
 
 CUT = ["anchor", "bucket", "buckets", "doc", "at", "context"]
@@ -309,4 +311,29 @@ def removals(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_co
     return repeated_spans(docs, length, id_col, text_col).mapInArrow(judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """The same rows and columns, their texts without the characters that earlier strings cover (see repeated_spans).
+
+    A character goes if all its bytes are covered. count_col, where there is one, gets the new length. Null texts stay null; no row goes.
+    """
+    columns = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, spans in zip(b.column("__text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                if text and spans:
+                    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                    first = np.flatnonzero((raw & 0xC0) != 0x80)
+                    gone = np.repeat(np.minimum.reduceat(mask(len(raw), spans), first), np.diff(np.append(first, len(raw))))
+                    text = raw[~gone].tobytes().decode("utf-8", "surrogatepass")
+                texts.append(text)
+            new = {text_col: pa.array(texts, pa.string())}
+            if count_col in columns:
+                new[count_col] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(count_col).type)
+            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in columns], names=columns)
+
+    return repeated_spans(docs, length, id_col, text_col, columns).mapInArrow(cut, docs.schema)
+
+
 KEPT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
