@@ -206,14 +206,16 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 yield arrays(RUN, *map(np.concatenate, held))
 
     found = rows.select("__doc", "__tie", "text").mapInArrow(runs, RUN)
-    shared = found.groupBy("anchor").agg(F.count("*").alias("c"), F.sum("n").alias("windows"), F.min("context").alias("a"), F.max("context").alias("b"), F.max("places").alias("p")).filter("c > 1 or p > 1")
-    several = materialize(found.join(shared, "anchor").select("anchor", "context", "doc", "at", "n", F.expr("if(a <> b or p > 1, windows, 0)").alias("windows")), "runs")
+    shared = found.groupBy("anchor").agg(F.sum("places").alias("c")).filter("c > 1").select("anchor")
+    several = materialize(found.join(shared, "anchor"), "runs")
     free_shuffles(spark)
-    first = several.groupBy("anchor", "context").agg(F.min(F.struct("doc", "at")).alias("f"), F.first("n").alias("n"), F.first("windows").alias("windows"))
+    first = several.groupBy("anchor", "context").agg(F.min(F.struct("doc", "at")).alias("f"), F.first("n").alias("n"), F.max("places").alias("places"))
+    first = materialize(first, "first")
     copies = several.join(first.select("anchor", "context", "f"), ["anchor", "context"]).filter("doc <> f.doc or at <> f.at").select("doc", "at", "n")
+    mixed = first.groupBy("anchor").agg(F.sum("places").alias("c"), F.sum("n").alias("windows")).filter("c > 1").select("anchor", "windows")
     split = F.lit((1 << 31) - 1)
     ours = (
-        first.filter("windows > 0")
+        first.join(mixed, "anchor")
         .select(F.col("f.doc").alias("__doc"), F.shiftrightunsigned("f.at", 31).alias("__tie"), F.struct("anchor", F.col("f.at").bitwiseAND(split).alias("start"), "n", F.ceil(F.col("windows") / BUCKET).alias("buckets")).alias("r"))
         .groupBy("__doc", "__tie").agg(F.collect_list("r").alias("runs"))  # bounded by the document's length
     )
@@ -266,7 +268,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         F.col("doc").alias("__doc"), F.shiftrightunsigned("at", 31).alias("__tie"), F.struct(F.col("at").bitwiseAND(split).alias("start"), (F.col("n") + length - 1).cast("long").alias("n")).alias("s")
     ).groupBy("__doc", "__tie").agg(F.collect_list("s").alias("spans"))  # bounded by the document's length
     spans = materialize(spans, "spans")
-    release(several, contexts, sorted_)
+    release(several, first, contexts, sorted_)
     free_shuffles(spark)
     return whole.join(spans, ["__doc", "__tie"], "left").select(*keep, "__id", "__text", "spans")
 
