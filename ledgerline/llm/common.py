@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,11 +43,14 @@ def release(*frames: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of jobs that are over; only a hint."""
-    import gc
+    """Let Spark's cleaner delete the shuffle files of jobs that are over; only a hint.
 
-    gc.collect()
-    spark._jvm.System.gc()
+    The first collection lets go of Python's handles, the second of what they held in the JVM.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def numbered(df: DataFrame, order: list[str], label: str) -> DataFrame:
