@@ -86,7 +86,7 @@ def external_lookup(keys: DataFrame, key: str, client: Callable[[str], object],
 
     A failing call gives NULLs; ``success`` tells.
     """
-    names = [f.split()[0] for f in result.split(",")]
+    names, kind = [f.split()[0] for f in result.split(",")], keys.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -99,7 +99,7 @@ def external_lookup(keys: DataFrame, key: str, client: Callable[[str], object],
                 rows.append((k, *(got if got is not None else [None] * len(names)), got is not None))
             yield pd.DataFrame(rows, columns=[key, *names, "success"])
 
-    return keys.select(key).distinct().mapInPandas(run, f"{key} string, {result}, success boolean")
+    return keys.select(key).distinct().mapInPandas(run, f"{key} {kind}, {result}, success boolean")
 
 
 def within_first(points: DataFrame, zones: DataFrame, x: str, y: str, zone: str = "id", order: str = "zone_idx", cell: float | None = None) -> DataFrame:

@@ -109,8 +109,8 @@ class GeoPackage(DataSource):
             names = [r[1] for r in db.execute(f'pragma table_info("{layer}")') if r[1] != shape]
         return layer, shape, names
 
-    def schema(self) -> StructType:
-        return StructType.fromDDL(", ".join(f"`{c}` string" for c in self.columns()[2]) + ", ring array<struct<x: double, y: double>>, row_idx bigint")
+    def schema(self) -> str:
+        return ", ".join(f"`{c}` string" for c in self.columns()[2]) + ", ring array<struct<x: double, y: double>>, row_idx bigint"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return GeoPackageReader(self.options["path"], *self.columns())
