@@ -16,7 +16,7 @@ from .hashing import INVERSE, U, mix, powers, prefix_hashes, span_hash
 GRAM = 32
 RUN = "anchor long, context long, doc long, at long, n int, places int"
 #: Suffixes sorted at once; an anchor with more gets several buckets.
-BATCH = 1_000_000
+BATCH = 200_000
 BUCKET = 200_000
 
 
@@ -59,25 +59,40 @@ class Suffixes:
     def __init__(self, data: np.ndarray, length: int) -> None:
         self.data, self.length = data, length
         self.h, self.inverse = prefix_hashes(data), powers(INVERSE, len(data) + 1)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(U)
+        self.word = np.zeros(len(data) + 1, U)  # eight bytes from each place, the first one highest
+        for k in range(8):
+            self.word |= padded[k : k + len(data) + 1] << U(56 - 8 * k)
+
+    def same(self, x: np.ndarray, y: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Equal hashes of the first n bytes."""
+        return (self.h[x + n] - self.h[x]) * self.inverse[x] == (self.h[y + n] - self.h[y]) * self.inverse[y]
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes x and y, up to ``length``, by binary search over hashes."""
-        h, ix, iy = self.h, self.inverse[x], self.inverse[y]
-        hx, hy = h[x], h[y]
-        low, high = np.zeros(len(x), np.int64), np.full(len(x), self.length)
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
-            mid = (low + high + 1) // 2
+        out = np.full(len(x), self.length)
+        left = np.flatnonzero(~self.same(x, y, self.length))
+        x, y = x[left], y[left]
+        h, hx, hy, ix, iy = self.h, self.h[x], self.h[y], self.inverse[x], self.inverse[y]
+        low, high = np.zeros(len(x), np.int64), np.full(len(x), self.length - 1)
+        while (low < high).any():
+            mid = (low + high + 1) >> 1
             same = (h[x + mid] - hx) * ix == (h[y + mid] - hy) * iy
-            low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        out[left] = low
+        return out
 
     def less(self, x: np.ndarray, y: np.ndarray, equal: np.ndarray) -> np.ndarray:
-        """Suffix x before y; ``equal`` says what counts where they agree."""
-        n = self.common(x, y)
-        last = np.minimum(n, self.length - 1)
-        return np.where(n == self.length, equal, self.data[x + last] < self.data[y + last])
+        """Suffix x before y; ``equal`` says what counts where they agree. Most differ in their first eight bytes, or nowhere."""
+        a, b = self.word[x], self.word[y]
+        out = a < b
+        more = np.flatnonzero(a == b)
+        if len(more):
+            x, y = x[more], y[more]
+            n = self.common(x, y)
+            last = np.minimum(n, self.length - 1)
+            out[more] = np.where(n == self.length, equal[more], self.data[x + last] < self.data[y + last])
+        return out
 
     def sort(self, starts: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """A stable merge sort of the suffixes within each class (classes ascending): the order, as indexes.
@@ -120,13 +135,14 @@ class Suffixes:
         """Suffixes equal over ``length`` bytes to the one sorted before them, every byte compared."""
         x, y = starts[order[:-1]], starts[order[1:]]
         same = np.flatnonzero(classes[order[:-1]] == classes[order[1:]])
-        same = same[self.common(x[same], y[same]) == self.length]
-        span = np.arange(self.length)
-        for k in range(0, len(same), 20_000):
-            part = same[k : k + 20_000]
-            ok = (self.data[x[part][:, None] + span] == self.data[y[part][:, None] + span]).all(axis=1)
-            same[k : k + 20_000] = np.where(ok, part, -1)
-        return order[1:][same[same >= 0]]
+        same = same[self.same(x[same], y[same], self.length)]
+        x, y, w = x[same], y[same], self.word
+        equal = np.ones(len(same), bool)
+        for k in (*range(0, self.length - 7, 8), self.length - 8) if self.length >= 8 else ():
+            equal &= w[x + k] == w[y + k]
+        for k in range(self.length) if self.length < 8 else ():
+            equal &= self.data[x + k] == self.data[y + k]
+        return order[1:][same[equal]]
 
 
 def repeated_windows(anchors: np.ndarray, group: np.ndarray, contexts: Sequence[bytes], doc: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Suffixes]:
@@ -144,7 +160,7 @@ def repeated_windows(anchors: np.ndarray, group: np.ndarray, contexts: Sequence[
     marks = np.flatnonzero(g == np.repeat(anchors, size)[: len(g)])
     rel = marks[np.searchsorted(marks, start)] - start
     classes = group[of] * (length + 1) + rel
-    first = np.lexsort((at[of] + place, doc[of], classes))
+    first = np.argsort(classes, kind="stable")  # contexts come in the order of documents and places
     order = s.sort(start[first], classes[first])
     again = np.zeros(len(of), bool)
     again[first[s.repeats(order, start[first], classes[first])]] = True
