@@ -100,6 +100,8 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
     out = []
     for q, name in enumerate(query_ids.tolist()):
         some = np.flatnonzero(met[q] & (ids != name))
+        if len(some) < k:  # too few met: the visits go on through all buckets
+            some = np.flatnonzero(ids != name)
         if len(some) > k:
             r = rough[q, some]
             least = np.partition(r, len(r) - k)[len(r) - k]
