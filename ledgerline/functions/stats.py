@@ -55,6 +55,16 @@ def ols(df: DataFrame, y: Column, x: Column, keys: Sequence[str] = ()) -> DataFr
     return rows.groupBy(*keys).agg(F.regr_slope("__y", "__x").alias("slope"), F.regr_intercept("__y", "__x").alias("intercept"))
 
 
+def fitted(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The points with the line through them, as a figure needs them: keys, x, y, fit."""
+    line = ols(df, F.col(y), F.col(x), keys).select(*(F.col(k).alias(f"__{k}") for k in keys), "slope", "intercept")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    both = df.join(line, on) if keys else df.join(F.broadcast(line))  # one row without keys
+    return both.select(*keys, x, y, (F.col("intercept") + F.col("slope") * F.col(x)).alias("fit"))
+
+
 def borders(first: int, last: int, step: int, float32: bool) -> list[tuple[int, float]]:
     """(q, least position share that counts as at or above q %)."""
     out = []
@@ -103,7 +113,7 @@ def precision_recall(pairs: DataFrame, gold: str, predicted: str) -> DataFrame:
     rows = support.join(given, "label", "full").join(right, "label", "left").fillna(0)
     scored = rows.withColumn("precision", F.coalesce(F.try_divide("hit", "given"), F.lit(0.0))).withColumn("recall", F.coalesce(F.try_divide("hit", "support"), F.lit(0.0)))
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
-    return scored.select("label", "support", "precision", "recall", f1.alias("f1"))
+    return scored.select("label", "support", "precision", "recall", f1.alias("f1")).orderBy(F.substring("label", 2, 1000), F.substring("label", 1, 1))
 
 
 def weighted_f1(report: DataFrame, leave_out: Sequence[str] = ()) -> DataFrame:

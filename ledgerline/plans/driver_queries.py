@@ -244,6 +244,13 @@ def ols_fit(t):
     return fit.select("flag", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
+@query("""with f as (select o_orderpriority as p, regr_slope(o_totalprice, o_custkey) as s, regr_intercept(o_totalprice, o_custkey) as i from orders group by 1)
+    select o_orderpriority, o_custkey, o_totalprice, round(i + s * o_custkey, 4) as fit from orders join f on p = o_orderpriority""")
+def fitted_points(t):
+    rows = stats.fitted(t("orders"), "o_totalprice", "o_custkey", ["o_orderpriority"])
+    return rows.select("o_orderpriority", "o_custkey", "o_totalprice", F.round("fit", 4).alias("fit"))
+
+
 @query("""select doc_id, n_chars > avg(n_chars) over (partition by lang) + 3 * stddev_pop(n_chars) over (partition by lang) as tall from documents""")
 def outlier_flag(t):
     w = Window.partitionBy("lang")

@@ -22,6 +22,17 @@ def occupation_table(lines: DataFrame, model: Crf, streets: DataFrame | None = N
     return occupations(entries, sanitized=True).na.fill("", ["street", "number", "occupation"]).withColumn("address", address("street", "number"))
 
 
+def summary(lines: DataFrame) -> DataFrame:
+    """(page_idx, columns, lines, streets, numbered): what a page holds, by kind of line."""
+    kind = lambda k: F.count_if(F.col("linetype") == k)
+    return lines.groupBy("page_idx").agg(F.count_distinct("col_idx").alias("columns"), F.count("*").alias("lines"), kind("STREETNAME").alias("streets"), kind("ENTRY_WITH_STREETNUMBER").alias("numbered"))
+
+
+def headings(lines: DataFrame) -> DataFrame:
+    """All street headings, in order."""
+    return lines.filter("linetype = 'STREETNAME'").select("page_idx", "col_idx", "line_idx", "street").orderBy("page_idx", "col_idx", "line_idx")
+
+
 def referenced(rows: DataFrame, places: Sequence[DataFrame], references: Sequence[DataFrame], scores: DataFrame, tracts: DataFrame, cutoff: float = 0.5) -> DataFrame:
     """Adds x_i, y_i, sb_i per table of addresses and hisco_i, hiscam_i per occupation list. Each lookup runs on distinct keys."""
     out = rows

@@ -71,7 +71,7 @@ def line_texts(lines: DataFrame) -> DataFrame:
 
     p = points("coords")
     side = lambda f, c: f(F.transform(p, lambda q: q[c]))
-    return lines.select("page_file", "col_idx", "line_idx", F.replace(F.col("content"), F.lit(""), F.lit("ß")).alias("text"), side(F.array_min, "x").alias("x0"), side(F.array_min, "y").alias("y0"), side(F.array_max, "x").alias("x1"), side(F.array_max, "y").alias("y1"))
+    return lines.select("page_file", "col_idx", "line_idx", F.replace(F.col("content"), F.lit("\ueedc"), F.lit("ß")).alias("text"), side(F.array_min, "x").alias("x0"), side(F.array_min, "y").alias("y0"), side(F.array_max, "x").alias("x1"), side(F.array_max, "y").alias("y1"))
 
 
 def image_urls(spark: SparkSession, template: str, first: int, last: int, digits: int = 8) -> DataFrame:
