@@ -417,9 +417,10 @@ def pareto_fit(t):
 
 @query()
 def label_stream(t):
-    """The streaming labeller's function over conversations as a table."""
+    """The streaming labeller's function over every line of the conversations; a null text is one null line."""
     from ..operators.labels import train
     from ..streaming.labeller import label_lines
 
     made = [(["START", "Et", ",", "le", ".", "END"], ["START", "N", "D", "O", "O", "END"]), (["START", "In", "the", "END"], ["START", "N", "O", "END"])]
-    return label_lines(t("conversations").select(F.substring_index("text", "\n", 1).alias("value")), train(made))
+    rows = t("conversations").select("conv_id", "turn", F.posexplode_outer(F.split("text", "\n")).alias("line", "value"))
+    return label_lines(rows.withColumn("line", F.coalesce("line", F.lit(0))), train(made), keys=["conv_id", "turn", "line"])

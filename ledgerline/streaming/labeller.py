@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,10 +12,10 @@ from ..functions.text import tokenize
 from ..operators.labels import Crf, labeller, reduce_labels
 
 
-def label_lines(lines: DataFrame, model: Crf, column: str = "value") -> DataFrame:
-    """(value, categories as JSON) of each line; stateless, so it reads batch and streaming frames alike."""
+def label_lines(lines: DataFrame, model: Crf, column: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, value, categories as JSON) of each line; stateless, so it reads batch and streaming frames alike."""
     labelled = lines.withColumn("tokens", tokenize(column, ends=True)).withColumn("labels", labeller(model)("tokens"))
-    return labelled.select(F.col(column).alias("value"), F.to_json(reduce_labels("tokens", "labels")).alias("json"))
+    return labelled.select(*keys, F.col(column).alias("value"), F.to_json(reduce_labels("tokens", "labels")).alias("json"))
 
 
 def listen(spark: SparkSession, path: str, out: str, checkpoint: str, model: Crf) -> StreamingQuery:

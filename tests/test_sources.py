@@ -100,3 +100,16 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = {(r.value, r.json) for r in spark.read.schema("value string, json string").json(str(tmp_path / "out")).collect()}
     batch = {(r.value, r.json) for r in labeller.label_lines(spark.read.text(str(tmp_path / "in")), m).collect()}
     assert streamed == batch and json.loads(next(j for v, j in batch if v.startswith("Adam")))["occupations"] == ["Maurer ."]
+
+
+def test_label_stream_labels_every_line(spark, tmp_path):
+    from ledgerline.plans import driver_queries
+
+    texts = [(1, 0, "Et, le.\nIn the\n\nle, Et."), (1, 1, "In the"), (2, 0, None), (2, 1, "")]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in texts], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.turn, r.line): (r.value, r.json) for r in driver_queries.QUERIES["label_stream"](spark, str(tmp_path)).collect()}
+    lines = {(c, t, k): x for c, t, text in texts for k, x in enumerate([None] if text is None else text.split("\n"))}
+    assert {k: v for k, (v, _) in got.items()} == lines
+    made = [(["START", "Et", ",", "le", ".", "END"], ["START", "N", "D", "O", "O", "END"]), (["START", "In", "the", "END"], ["START", "N", "O", "END"])]
+    batch = labeller.label_lines(spark.createDataFrame([(x,) for x in lines.values()], "value string"), labels.train(made))
+    assert set(got.values()) == {(r.value, r.json) for r in batch.collect()}
