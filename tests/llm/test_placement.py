@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from ledgerline.llm.mixing import mix, quotas, schedule
+from ledgerline.llm.mixing import edf, exact, mix, quotas, schedule
 from ledgerline.llm.packing import Words, balanced, pack
 from ledgerline.llm.sharding import shard
 
@@ -117,3 +117,26 @@ def test_packing_is_whole(spark):
         raws[d].add(raw)
     assert all(any(zlib.crc32(raw[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32 for raw in raws[r.doc_id]) for r in got)
     assert pack(df.limit(0), PATH).collect() == []
+
+
+def test_every_source_is_less_than_a_block_from_its_weight():
+    for weights in ({"hot": 0.5} | {f"s{k:02d}": 0.5 / 19 for k in range(19)}, {"hot": 0.3} | {f"s{k:04d}": 0.7 / 1500 for k in range(1500)}):
+        quota = exact(weights)
+        names, done, end = list(quota), Counter(), 5000
+        for slot, (n, j, at, release, due) in zip(range(end), edf(list(quota.values()), [end] * len(names))):
+            assert at == slot and release <= slot < due and j == done[n]
+            done[n] += 1
+            if slot % 97 == 0:
+                assert all(abs(done[k] - (slot + 1) * weights[s]) < 1 + 1e-9 for k, s in enumerate(names))
+    assert quotas({"a": 1, "b": 1e-9}, 10) == {"a": 9, "b": 1} and exact({"a": 0.5, "b": 3}) == {"a": 1, "b": 6}
+
+
+def test_mix_follows_the_weights_of_many_sources(spark):
+    rows = [(k, "hot") for k in range(700)] + [(1000 + k, f"s{k % 1100:04d}") for k in range(2200)]
+    weights = {"hot": 0.3} | {f"s{k:04d}": 0.7 / 1100 for k in range(1100)}
+    got = sorted(mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=1).collect(), key=lambda r: r.position)
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
+    hot = 0
+    for k, r in enumerate(got[:2000], 1):
+        hot += r.source == "hot"
+        assert r.slot == k - 1 and abs(hot - 0.3 * k) < 1 + 1e-9
