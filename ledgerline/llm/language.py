@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,27 @@ def visible(html: str | None) -> str:
     return HIDDEN.sub(" ", html or "")
 
 
-def text_model(docs: DataFrame, languages: int = 64, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, log P(trigram bin | language)) from all documents with a language, counted by grouped aggregation.
+@dataclass
+class TextModel:
+    """log P(trigram bin | language) of every language: what a bin not seen has, and by bin what the languages that have it add."""
 
-    The counts come to the driver: at most languages * BINS numbers. The most frequent ``languages`` are modelled.
+    names: list[str]
+    unseen: np.ndarray  # languages
+    start: np.ndarray  # bins + 1: where each bin's entries begin
+    whose: np.ndarray  # entries: the language
+    more: np.ndarray  # entries: log P less the unseen bin's
+
+    def likely(self, grams: np.ndarray) -> np.ndarray:
+        """The log-likelihood of a text's trigrams under each language."""
+        first, n = self.start[grams], self.start[grams + 1] - self.start[grams]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return len(grams) * self.unseen + np.bincount(self.whose[at], self.more[at], len(self.names))
+
+
+def text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TextModel:
+    """The model of every language in docs from all its documents, counted by grouped aggregation.
+
+    One number for each language and each bin seen in it comes to the driver, and goes to the tasks.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,13 +79,14 @@ def text_model(docs: DataFrame, languages: int = 64, text_col: str = "text", lan
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(c[some])], names=["lang", "bin", "n"])
 
     known = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    names.sort()
-    counts = known.mapInArrow(count, "lang string, bin int, n long").filter(F.col("lang").isin(names)).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    table = np.full((len(names), BINS), 0.5)
-    for r in counts.toArrow().to_pylist():
-        table[names.index(r["lang"]), r["bin"]] += r["n"]
-    return names, np.log(table / table.sum(axis=1, keepdims=True)) if names else table
+    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    counts = known.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow().combine_chunks()
+    whose = pc.index_in(counts["lang"], pa.array(names, pa.string())).to_numpy()
+    bins, n = counts["bin"].to_numpy(), counts["n"].to_numpy()
+    unseen = np.log(0.5) - np.log(np.bincount(whose, n, len(names)) + 0.5 * BINS)
+    order = np.lexsort((whose, bins))
+    start = np.concatenate([[0], np.cumsum(np.bincount(bins, minlength=BINS))])
+    return TextModel(names, unseen, start, whose[order].astype(np.int32), np.log(2.0 * n[order] + 1).astype(np.float32))
 
 
 def shrunk(counts: DataFrame, keys: Sequence[str], parent: str, kappa: float, name: str) -> DataFrame:
@@ -96,38 +116,40 @@ def identify(
     docs: (lang, text), the text model. Null html has no text and declares nothing; a null url has the host ''.
     Without any language in docs lang is null. Repeated rows are judged alike; an empty table gives no rows.
     """
-    names, logs = text_model(docs)
+    model = text_model(docs)
+    names = model.names
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), F.lower(F.regexp_extract(F.col(html_col), DECLARED, 1)).alias("declared"), F.col(html_col).alias("html"))
     if not names:
         return rows.select("page_id", "host", "declared", F.lit(0).cast("long").alias("n_grams"), *(F.lit(None).cast("string").alias(c) for c in ("text_lang", "lang")), F.lit(None).cast("double").alias("posterior"))
-    small = logs.astype(np.float32)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, len(b), 256):
                 part = b.slice(k, 256)
                 grams = [trigrams(visible(h)) for h in part.column(3).to_pylist()]
-                likely = [small[:, g].sum(axis=1, dtype=np.float64).tolist() for g in grams]
+                likely = [model.likely(g).tolist() for g in grams]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(g) for g in grams], pa.int64()), pa.array(likely, pa.list_(pa.float64()))], names=["page_id", "host", "declared", "n_grams", "likely"])
 
     scored = materialize(rows.mapInArrow(score, "page_id long, host string, declared string, n_grams long, likely array<double>"), "language")
     n, langs = len(names), F.array(*map(F.lit, names))
     top = F.array_position(F.col("likely"), F.array_max("likely")).cast("int")
     looks = scored.withColumn("top", F.when(F.col("n_grams") > 0, top)).withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
-    per_host = looks.filter("top is not null").groupBy("suffix", "domain", "host").agg(*(F.sum((F.col("top") == k + 1).cast("double")).alias(f"c{k}") for k in range(n)))
-    vector = F.array(*(F.col(f"c{k}") for k in range(n))).alias("c")
-    sums = lambda keys: per_host.groupBy(*keys).agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(n))).select(*keys, vector)
-    uniform = F.array(*(F.lit(1.0 / n) for _ in range(n)))
+    # Vectors over the languages are made of the pairs that occur, so that the plan is the same for any number of them.
+    vector = lambda rest: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(rest)))
+    pairs = lambda value: F.map_from_entries(F.collect_list(F.struct("top", F.col(value).cast("double")))).alias("m")
+    per_host = looks.filter("top is not null").groupBy("suffix", "domain", "host", "top").agg(F.count("*").alias("seen"))
+    sums = lambda keys: per_host.groupBy(*keys, "top").agg(F.sum("seen").alias("seen")).groupBy(*keys).agg(pairs("seen")).select(*keys, vector(0.0).alias("c"))
+    uniform = F.array_repeat(F.lit(1.0 / n), n)
     # One row, then one per suffix, domain and host.
     everywhere = sums([]).select(F.transform("c", lambda c: (F.coalesce(c, F.lit(0.0)) + 1) / (F.aggregate("c", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) + n)).alias("p0"))
     p1 = shrunk(sums(["suffix"]).join(F.broadcast(everywhere)), ["suffix"], "p0", kappas[0], "p1")
     p2 = shrunk(sums(["suffix", "domain"]).join(p1, "suffix"), ["suffix", "domain"], "p1", kappas[1], "p2")
-    p3 = shrunk(per_host.select("suffix", "domain", "host", vector).join(p2, ["suffix", "domain"]), ["host"], "p2", kappas[2], "p3")
+    p3 = shrunk(sums(["suffix", "domain", "host"]).join(p2, ["suffix", "domain"]), ["host"], "p2", kappas[2], "p3")
     # What pages of each language declare: declared values are short codes, the table is languages times these.
     said = looks.filter("top is not null").groupBy("declared", "top").agg(F.count("*").alias("n"))
     of_lang = said.groupBy("top").agg(F.sum("n").alias("all"))
-    per = said.join(of_lang, "top").groupBy("declared").agg(*(F.coalesce(F.max(F.when(F.col("top") == k + 1, (F.col("n") + 0.5) / (F.col("all") + 0.5 * (n + 1)))), F.lit(0.5 / (100 + n))).alias(f"d{k}") for k in range(n)))
-    declared = per.select("declared", F.array(*(F.col(f"d{k}") for k in range(n))).alias("says"))
+    share = said.join(of_lang, "top").select("declared", "top", ((F.col("n") + 0.5) / (F.col("all") + 0.5 * (n + 1))).alias("share"))
+    declared = share.groupBy("declared").agg(pairs("share")).select("declared", vector(0.5 / (100 + n)).alias("says"))
     joined = (
         scored.join(p3, "host", "left").join(declared, "declared", "left").join(F.broadcast(everywhere))
         .withColumn("prior", F.coalesce("p3", "p0", uniform)).withColumn("says", F.coalesce("says", F.transform(uniform, lambda x: F.lit(1.0))))

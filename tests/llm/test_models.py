@@ -144,3 +144,13 @@ def test_languages_fuse_evidence(spark):
     assert got[500].lang == "bb" and got[501].lang == "aa" and got[502].lang == "aa" and got[503].lang == "bb" and got[500].text_lang is None
     pages = spark.createDataFrame([(1, None, None)], "page_id long, url string, html string")
     assert identify(pages, docs.limit(0)).first().lang is None and identify(pages.limit(0), docs).collect() == []
+
+
+def test_every_language_is_modelled(spark):
+    r = random.Random(8)
+    letters = [chr(0x4E00 + 40 * k) for k in range(90)]
+    text = lambda k, n: " ".join("".join(chr(ord(letters[k]) + r.randrange(6)) for _ in range(4)) for _ in range(n))
+    docs = spark.createDataFrame([(text(k, 40), f"l{k:02d}") for k in range(90) for _ in range(1 + (k < 64))] + [(None, "none")], "text string, lang string")
+    pages = [(k, f"http://h{k % 7}.com/", f"<p>{text(k % 90, 30)}</p>") for k in range(180)]
+    got = identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()
+    assert {x.page_id: (x.text_lang, x.lang) for x in got} == {k: (f"l{k % 90:02d}",) * 2 for k in range(180)}
