@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -12,166 +12,160 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 64
+#: Size of the ordinary dictionary and its segments, largest size of the toxic one and its segments, in bytes.
+ORDINARY, TOXIC = (65_536, 24), (8192, 16)
+#: Bytes of toxic windows for each byte of the toxic dictionary: what fewer windows have in common takes less of it.
+SHARE = 32
+#: Of the ordinary windows' gains, the percentile that toxic windows must exceed to stay in the next round.
+ROUNDS = (95, 98, 99)
 
 
 @dataclass
 class Model:
-    """Everything a task needs; a few kB."""
+    """Everything a task needs; some 110 kB."""
 
     toxic: bytes
     ordinary: bytes
-    gain: int
     weights: tuple[float, ...]
 
 
-def stems(text: bytes, shortest: int = 4, longest: int = 9) -> set[bytes]:
-    """Starts of words, with the space before them."""
-    words = {b" " + w.strip(b".,;:!?\"'()") for w in text.lower().split()}
-    return {w[:n] for w in words for n in range(shortest + 1, min(longest, len(w)) + 1)}
+def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
+    """The whole text, lower-cased, in pieces of whole words of ``size`` bytes or little more; words of over four times that are cut."""
+    out, held, n = [], [], 0
+    for word in (text or "").lower().encode("utf-8", "surrogatepass").split():
+        for k in range(0, len(word), 4 * size):
+            part = word[k : k + 4 * size]
+            held.append(part)
+            n += len(part) + 1
+            if n >= size:
+                out.append(b" " + b" ".join(held) + b" ")
+                held, n = [], 0
+    if held:
+        out.append(b" " + b" ".join(held) + b" ")
+    return out
 
 
-def train_dictionaries(toxic: Sequence[bytes], ordinary: Sequence[bytes], size: int = 8192, support: float = 0.03) -> tuple[bytes, bytes]:
-    """Raw-content dictionaries (toxic, ordinary).
+def trained_toxic(samples: Sequence[bytes]) -> bytes:
+    return trained(samples, min(TOXIC[0], max(512, sum(map(len, samples)) // SHARE)), TOXIC[1]) if samples else b""
 
-    Both end with the segments that ordinary text compresses best by, its most frequent words. Before these the toxic
-    one has the segments that toxic documents hold and ordinary ones lack: word starts in at least
-    ``support`` of the toxic documents, e^2.5 times as often as in ordinary ones and by more than
-    chance over all word starts explains; the longest of equal frequency, most frequent last, where matches cost least. With the same tail the
-    lengths of a clean window agree, and only toxic segments make the toxic dictionary shorter.
-    """
-    common = Counter(w for t in ordinary for w in t.lower().split())
-    tail = b" ".join(w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[: size // 4])[:size]
-    toxic = sorted(set(toxic))  # copies say nothing new
-    n, m = len(toxic), len(ordinary)
-    has, lacks = Counter(g for t in toxic for g in stems(t)), Counter(g for t in ordinary for g in stems(t))
-    ratio = {g: np.log((c + 0.5) / (n + 1)) - np.log((lacks[g] + 0.5) / (m + 1)) for g, c in has.items() if c >= max(3, support * n)}
-    share, needed = n / (n + m), np.log(100 * (len(has) + 1))
-
-    def evidence(g: bytes) -> float:
-        """Chernoff's exponent of as large a part of its documents being toxic by chance."""
-        c, d = has[g], lacks[g]
-        q = c / (c + d)
-        return c * np.log(q / share) + (d * np.log((1 - q) / (1 - share)) if d else 0)
-
-    ranked = sorted((g for g in ratio if ratio[g] > 2.5 and evidence(g) > needed), key=lambda g: (-ratio[g] * has[g], -len(g), g))
-    chosen: list[bytes] = []
-    for g in ranked:
-        if not any(g.startswith(c) or c.startswith(g) for c in chosen):
-            chosen.append(max((h for h in ranked if h.startswith(g) and has[h] >= 0.97 * has[g]), key=len))
-    return b"".join(reversed(chosen[: size // 16])) + tail, tail
-
-
-class Lengths:
-    """Compressed lengths under one dictionary."""
-
-    def __init__(self, content: bytes) -> None:
-        import zstandard as z
 
-        params = z.ZstdCompressionParameters.from_level(9, min_match=5, write_content_size=0, write_checksum=0, write_dict_id=0)
-        words = z.ZstdCompressionDict(content or b" ", dict_type=z.DICT_TYPE_RAWCONTENT)
-        if len(content) >= 8:
-            words.precompute_compress(compression_params=params)
-            self.compress = z.ZstdCompressor(dict_data=words, compression_params=params).compress
-        else:
-            self.compress = z.ZstdCompressor(compression_params=params).compress
+def trained(samples: Sequence[bytes], size: int, segment: int) -> bytes:
+    """A zstandard dictionary of the samples; of too few for the trainer, the samples themselves."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(size, list(samples), k=segment, d=6).as_bytes()
+    except z.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 class Gains:
-    """How many bytes shorter the toxic dictionary makes windows, and words."""
+    """How many bytes shorter the toxic dictionary makes windows than the ordinary one does.
+
+    The toxic dictionary lies before the ordinary one, whose bytes both have at the end, as raw content: so the lengths of a
+    window agree unless a segment of the toxic one is nearer to it than anything in the ordinary one.
+    """
 
     def __init__(self, toxic: bytes, ordinary: bytes) -> None:
-        self.toxic, self.ordinary, self.known = Lengths(toxic).compress, Lengths(ordinary).compress, {}
-        self.carrier = ordinary[:24]  # a lone word is too short to be compressed at all
-
-    def of(self, piece: bytes) -> int:
-        return len(self.ordinary(piece)) - len(self.toxic(piece))
-
-    def words(self, text: str | None) -> tuple[int, list[int]]:
-        """Words in the whole text, and the gains of those words that shorten a window.
-
-        Windows of about WINDOW bytes, cut at white space, cover the text; those that the toxic dictionary shortens are
-        compressed again word by word, so what is counted doesn't depend on where windows fall.
-        """
-        words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-        line = b" " + b" ".join(words)
-        toxic, ordinary, known, carrier, found, at, end = self.toxic, self.ordinary, self.known, self.carrier, [], 0, len(line)
-        while at < end:
-            to = line.find(b" ", at + WINDOW)
-            if to < 0 or to > at + 4 * WINDOW:
-                to = end if to < 0 and end - at <= 4 * WINDOW else at + 4 * WINDOW
-            piece = carrier + line[at:to]
-            if len(ordinary(piece)) > len(toxic(piece)):
-                for w in line[at:to].split():
-                    if (g := known.get(w)) is None:
-                        if len(known) > 100_000:
-                            known.clear()
-                        g = known[w] = self.of(self.carrier + b" " + w + b" " + self.carrier)
-                    if g > 0:
-                        found.append(g)
-            at = to
-        return len(words), found
-
-
-def features(n_words: int, gains: list[int], least: int) -> list[float]:
-    hits = [g for g in gains if g >= least]
-    return [1.0, np.log1p(len(hits)), np.log1p(1000 * len(hits) / (n_words + 20)), float(max(hits, default=0)), np.log1p(n_words)]
-
-
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
-    """Ridge logistic regression by Newton's method."""
+        self.plain, self.both = self.compressor(ordinary), self.compressor(toxic + ordinary)
+
+    @staticmethod
+    def compressor(content: bytes):  # noqa: ANN205
+        import zstandard as z
+
+        params = z.ZstdCompressionParameters.from_level(5, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+        words = z.ZstdCompressionDict(content.rjust(8), dict_type=z.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(compression_params=params)
+        return z.ZstdCompressor(dict_data=words, compression_params=params).compress
+
+    def of(self, pieces: Sequence[bytes]) -> np.ndarray:
+        return np.array([len(self.plain(w)) - len(self.both(w)) for w in pieces], float)
+
+
+def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str]) -> tuple[bytes, bytes]:
+    """Dictionaries (toxic, ordinary), each trained on windows of its class.
+
+    Most windows of a toxic document are ordinary. So either class is halved, and each half's windows are compressed with the
+    dictionaries of the other half: toxic windows stay if they gain more than nearly all ordinary ones do, and the next toxic
+    dictionary is trained on these; ordinary windows that gain too go into the next ordinary dictionary as well, so
+    that they no longer do.
+    """
+    halves = lambda docs: [[w for t in docs[k::2] for w in windows(t)] for k in (0, 1)]
+    bad, good = halves(sorted(set(toxic))), halves(ordinary)
+    tox, plain = [trained_toxic(x) for x in bad], [trained(x, *ORDINARY) for x in good]
+    top, hard = bad, [[], []]
+    for percentile in ROUNDS:
+        scales = [Gains(t, o) for t, o in zip(tox, plain, strict=True)]
+        gain, wrong = ([scales[1 - k].of(x[k]) for k in (0, 1)] for x in (bad, good))
+        all_ = np.concatenate([*wrong, [0.0]])
+        least, near = max(2, np.percentile(all_, percentile)), max(2, np.percentile(all_, 90))
+        top = [[bad[k][i] for i in np.flatnonzero(gain[k] > least)] for k in (0, 1)]
+        hard = [[good[k][i] for i in np.flatnonzero(wrong[k] >= near)] for k in (0, 1)]
+        tox = [trained_toxic(x) for x in top]
+        plain = [trained(hard[k], ORDINARY[0] // 2, ORDINARY[1]) + trained(good[k], *ORDINARY) for k in (0, 1)]
+    top, hard = top[0] + top[1], hard[0] + hard[1]
+    return trained_toxic(top), trained(hard, ORDINARY[0] // 2, ORDINARY[1]) + trained(good[0] + good[1], *ORDINARY)
+
+
+def features(gains: np.ndarray) -> list[float]:
+    """What a document's windows say: how many gain 2, 3 and 5 bytes or more, the share of 3 or more, the largest gain, the number."""
+    if not len(gains):
+        return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    over = [np.log1p((gains >= k).sum()) for k in (2, 3, 5)]
+    return [1.0, *over, np.log1p(100 * (gains >= 3).mean()), gains.max() / 4, np.log1p(len(gains))]
+
+
+def fit(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
+    """Ridge logistic regression by Newton's method; share: each row's weight."""
     w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (share * (y - p)) - penalty @ w)
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
     return w
 
 
-def train(toxic: Sequence[str], ordinary: Sequence[str]) -> Model:
-    """Dictionaries from a part of the sample; the word threshold and the calibration from the rest.
+def train(toxic: Sequence[str], ordinary: Sequence[str], odds: float = 1.0) -> Model:
+    """Dictionaries from two thirds of the sample; the calibration, a logistic curve over features(), from the rest.
 
-    The threshold is the gain that separates the rest best (Youden's index); a logistic curve
-    over the hits makes a probability of them. Without toxic or ordinary documents the score is the toxic share.
+    odds: ordinary labelled documents for each toxic one, which the calibration's classes are weighted to. Without toxic or
+    ordinary documents the score is the toxic share.
     """
-    cut = lambda docs: ([t for k, t in enumerate(docs) if k % 2 == 0], [t for k, t in enumerate(docs) if k % 2])
+    cut = lambda docs: ([t for k, t in enumerate(docs) if k % 3], [t for k, t in enumerate(docs) if k % 3 == 0])
     (a, b), (c, d) = cut(toxic), cut(ordinary)
     if not (a and c):
         share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
-        return Model(b"", b"", 1, (float(np.log(share / (1 - share))), 0, 0, 0, 0))
-    tox, plain = train_dictionaries([t.encode("utf-8", "surrogatepass") for t in a], [t.encode("utf-8", "surrogatepass") for t in c])
+        return Model(b"", b"", (float(np.log(share / (1 - share))), 0, 0, 0, 0, 0, 0))
+    tox, plain = train_dictionaries(a, c)
     gains = Gains(tox, plain)
-    rows = [(gains.words(t), y) for y, part in ((1, b or a), (0, d or c)) for t in part]
-    y = np.array([r[1] for r in rows], float)
-
-    def youden(g: int) -> float:
-        hit = np.array([any(v >= g for v in r[0][1]) for r in rows])
-        return hit[y == 1].mean() - hit[y == 0].mean()
-
-    least = max(range(1, 8), key=lambda g: (youden(g), g))
-    x = np.array([features(*r[0], least) for r in rows])
-    return Model(tox, plain, least, tuple(fit(x, y)))
+    x = np.array([features(gains.of(windows(t))) for t in (*b, *d)])
+    y = np.repeat([1.0, 0.0], [len(b), len(d)])
+    return Model(tox, plain, tuple(fit(x, y, np.where(y == 1, 1.0, odds * len(b) / len(d)))))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 20_000, fold: int = 1) -> tuple[list[str], list[str]]:
-    """Texts of at most per_class toxic and per_class ordinary labelled documents of up to ``longest`` characters.
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: int = 20_000, fold: int = 1) -> tuple[list[str], list[str], float]:
+    """Texts of per_class toxic and per_class ordinary labelled documents at most, of up to ``longest`` characters; ordinary labels for each toxic one.
 
-    Documents whose crc32(doc_id as text) mod 3 is ``fold`` are held out. The smallest hashes
-    of doc_id are taken, so the sample is the same on every run and bounded by 2 * per_class * longest.
+    Documents whose crc32(doc_id as text) mod 3 is ``fold`` are held out. The smallest hashes of doc_id are taken, and of several
+    texts of one id the least, so the sample is the same on every run and bounded by 2 * per_class * longest. The odds are counted over all labels.
     """
     order = F.xxhash64(F.lit("sample"), "doc_id")
     rows = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != fold)
+    count = rows.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
     picked = [rows.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(per_class) for y in (1, 0)]
-    # 2 * per_class ids at most, hence the broadcast.
+    # 2 * per_class ids at most, hence the broadcast, and the least text of each.
     found = (
-        docs.select(F.col("doc_id"), F.col("text")).filter(F.length("text") <= longest)
-        .join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "toxic", "text")
-        .orderBy("doc_id", "text").limit(2 * per_class + 100).collect()
+        docs.select("doc_id", "text").filter(F.length("text") <= longest)
+        .join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+        .collect()
     )
-    return [r["text"] for r in found if r["toxic"] == 1], [r["text"] for r in found if r["toxic"] == 0]
+    found.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    bad = count["bad"] or 0
+    return [r["text"] for r in found if r["toxic"] == 1], [r["text"] for r in found if r["toxic"] == 0], (count["n"] - bad) / bad if bad else 1.0
 
 
 def scores(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -181,18 +175,18 @@ def scores(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains, w = Gains(model.toxic, model.ordinary), np.array(model.weights)
         for b in batches:
-            x = np.array([features(*gains.words(t), model.gain) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, len(w))
+            x = np.array([features(gains.of(windows(t.as_py()))) for t in b.column(b.num_columns - 1)]).reshape(-1, len(w))
             score = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], "score"])
 
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 2000, fold: int = 1) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 3000, fold: int = 1) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
     The model is trained on a bounded sample of labelled documents outside the fold (see sample);
-    scores come from the text only. Null and empty texts get the score of a text without hits; repeated
+    scores come from the text only. Null and empty texts get the score of a text without windows; repeated
     rows are scored alike; null ids are never held out. An empty table gives no rows.
     """
     model = train(*sample(docs, labels, per_class, fold=fold))

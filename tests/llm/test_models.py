@@ -1,8 +1,10 @@
 """Quality, toxicity, languages, neighbours and hosts: against brute force or held-out accuracy."""
 
 import math
+import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -94,6 +96,31 @@ def test_toxic_documents_are_told_apart(spark):
     assert tox.toxicity(docs, labels.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_held_out_recall_and_false_positives():
+    """On the driver's own documents: at least the recall and at most the false positives that the README states."""
+    duckdb = pytest.importorskip("duckdb")
+    at = "/root/testdata/sf0.1"
+    if not os.path.exists(at):
+        pytest.skip("no test tables")
+    rows = duckdb.sql(f"select doc_id, text, toxic from '{at}/documents.parquet' join '{at}/labels.parquet' using (doc_id) where toxic is not null and length(text) < 20000 order by doc_id").fetchall()
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    bad, good = [t for _, t, y in known if y], [t for _, t, y in known if not y]
+    model = tox.train(bad, good[:3000], len(good) / len(bad))
+    gains = tox.Gains(model.toxic, model.ordinary)
+    says = np.array([np.array(tox.features(gains.of(tox.windows(t)))) @ model.weights >= np.log(0.7 / 0.3) for _, t, _ in held])
+    truth = np.array([y == 1 for _, _, y in held])
+    assert says[truth].mean() > 0.4 and says[~truth].mean() < 0.006
+
+
+def test_windows_hold_the_whole_text():
+    r = random.Random(2)
+    for text in (None, "", " \n", "a", "Ä" * 5000, "x" * 100_000, " ".join("w" * r.randint(1, 90) for _ in range(3000))):
+        pieces = tox.windows(text)
+        assert b"".join(b"".join(p.split()) for p in pieces) == b"".join((text or "").lower().encode().split())
+        assert all(len(p) <= 6 * tox.WINDOW for p in pieces)
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((900, 16)).astype(np.float32)
