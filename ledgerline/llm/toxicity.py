@@ -15,9 +15,9 @@ WINDOW = 64
 #: Size of the ordinary dictionary and its segments, largest size of the toxic one and its segments, in bytes.
 ORDINARY, TOXIC = (65_536, 24), (8192, 16)
 #: Bytes of toxic windows for each byte of the toxic dictionary: what fewer windows have in common takes less of it.
-SHARE = 32
-#: Of the ordinary windows' gains, the percentile that toxic windows must exceed to stay in the next round.
-ROUNDS = (95, 98, 99)
+SHARE = 4
+#: Rounds of training: the size of the windows, and the percentile of the ordinary windows' gains that toxic windows must exceed to stay.
+ROUNDS = ((64, 90), (24, 98))
 
 
 @dataclass
@@ -93,18 +93,18 @@ def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str]) -> tuple[b
     halves = lambda docs: [[w for t in docs[k::2] for w in windows(t)] for k in (0, 1)]
     bad, good = halves(sorted(set(toxic))), halves(ordinary)
     tox, plain = [trained_toxic(x) for x in bad], [trained(x, *ORDINARY) for x in good]
-    top, hard = bad, [[], []]
-    for percentile in ROUNDS:
+    hard: list[list[bytes]] = [[], []]
+    for size, percentile in ROUNDS:
+        bad, other = ([[p for w in x[k] for p in windows(w.decode("utf-8", "replace"), size)] for k in (0, 1)] for x in (bad, good))
         scales = [Gains(t, o) for t, o in zip(tox, plain, strict=True)]
-        gain, wrong = ([scales[1 - k].of(x[k]) for k in (0, 1)] for x in (bad, good))
+        gain, wrong = ([scales[1 - k].of(x[k]) for k in (0, 1)] for x in (bad, other))
         all_ = np.concatenate([*wrong, [0.0]])
         least, near = max(2, np.percentile(all_, percentile)), max(2, np.percentile(all_, 90))
-        top = [[bad[k][i] for i in np.flatnonzero(gain[k] > least)] for k in (0, 1)]
-        hard = [[good[k][i] for i in np.flatnonzero(wrong[k] >= near)] for k in (0, 1)]
-        tox = [trained_toxic(x) for x in top]
+        bad = [[bad[k][i] for i in np.flatnonzero(gain[k] > least)] for k in (0, 1)]
+        hard = [hard[k] + [other[k][i] for i in np.flatnonzero(wrong[k] >= near)] for k in (0, 1)]
+        tox = [trained_toxic(x) for x in bad]
         plain = [trained(hard[k], ORDINARY[0] // 2, ORDINARY[1]) + trained(good[k], *ORDINARY) for k in (0, 1)]
-    top, hard = top[0] + top[1], hard[0] + hard[1]
-    return trained_toxic(top), trained(hard, ORDINARY[0] // 2, ORDINARY[1]) + trained(good[0] + good[1], *ORDINARY)
+    return trained_toxic(bad[0] + bad[1]), trained(hard[0] + hard[1], ORDINARY[0] // 2, ORDINARY[1]) + trained(good[0] + good[1], *ORDINARY)
 
 
 def features(gains: np.ndarray) -> list[float]:
