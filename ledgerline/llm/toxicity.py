@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 WINDOW = 64
 #: Size of the ordinary dictionary and its segments, largest size of the toxic one and its segments, in bytes.
 ORDINARY, TOXIC = (65_536, 24), (8192, 16)
-#: Bytes of toxic windows for each byte of the toxic dictionary: what fewer windows have in common takes less of it.
-SHARE = 4
+#: Bytes of toxic windows for each byte of the toxic dictionary, as what fewer windows have in common takes less of it, and its least size.
+SHARE, LEAST = 4, 2048
 #: Rounds of training: the size of the windows, and the percentile of the ordinary windows' gains that toxic windows must exceed to stay.
 ROUNDS = ((64, 90), (24, 98))
 
@@ -46,13 +46,15 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
 
 
 def trained_toxic(samples: Sequence[bytes]) -> bytes:
-    return trained(samples, min(TOXIC[0], max(512, sum(map(len, samples)) // SHARE)), TOXIC[1]) if samples else b""
+    return trained(samples, min(TOXIC[0], max(LEAST, sum(map(len, samples)) // SHARE)), TOXIC[1]) if samples else b""
 
 
 def trained(samples: Sequence[bytes], size: int, segment: int) -> bytes:
-    """A zstandard dictionary of the samples; of too few for the trainer, the samples themselves."""
+    """A zstandard dictionary of the samples; the samples themselves where they fit, or where the trainer finds them too few."""
     import zstandard as z
 
+    if sum(map(len, samples)) <= size:
+        return b"".join(samples)
     try:
         return z.train_dictionary(size, list(samples), k=segment, d=6).as_bytes()
     except z.ZstdError:
@@ -92,7 +94,7 @@ def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str]) -> tuple[b
     """
     halves = lambda docs: [[w for t in docs[k::2] for w in windows(t)] for k in (0, 1)]
     bad, good = halves(sorted(set(toxic))), halves(ordinary)
-    tox, plain = [trained_toxic(x) for x in bad], [trained(x, *ORDINARY) for x in good]
+    tox, plain = [trained(x, *TOXIC) for x in bad], [trained(x, *ORDINARY) for x in good]
     hard: list[list[bytes]] = [[], []]
     for size, percentile in ROUNDS:
         bad, other = ([[p for w in x[k] for p in windows(w.decode("utf-8", "replace"), size)] for k in (0, 1)] for x in (bad, good))
