@@ -61,7 +61,7 @@ class Words:
     are told apart. All other chunks are encoded by the whole tokenizer, each by itself.
     """
 
-    def __init__(self, path: str, size: int = 700_000) -> None:
+    def __init__(self, path: str, size: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
