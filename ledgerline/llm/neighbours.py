@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 OUT = "query_id long, vec_id long, score double"
 
 
@@ -94,14 +96,12 @@ def candidates(queries: np.ndarray, rows: np.ndarray, plan: Plan, mass: float, r
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, plan: Plan, mass: float, k: int) -> list[tuple[int, int, float]]:
-    """The k largest exact inner products of each query among its candidates; ties to the smaller id."""
-    met = candidates(queries, rows, plan, mass)
+    """The k largest exact inner products of each query among its candidates; ties to the smaller id. With mass 1 all buckets are visited."""
+    met = candidates(queries, rows, plan, mass) if mass < 1 else np.ones((len(queries), len(rows)), bool)
     rough = queries @ rows.T
     out = []
     for q, name in enumerate(query_ids.tolist()):
         some = np.flatnonzero(met[q] & (ids != name))
-        if len(some) < k:  # too few met: the visits go on through all buckets
-            some = np.flatnonzero(ids != name)
         if len(some) > k:
             r = rough[q, some]
             least = np.partition(r, len(r) - k)[len(r) - k]
@@ -118,10 +118,11 @@ def search(
     k: int = 20,
     every: int = 20,
     tables: int = 8,
-    functions: int = 8,
+    functions: int = 16,
     width: float = 2.0,
-    mass: float = 0.28,
+    mass: float = 0.24,
     block: int = 65_536,
+    least_blocks: int = 16,
     query_block: int = 8192,
     sample: int = 4096,
     id_col: str = "vec_id",
@@ -132,7 +133,7 @@ def search(
     Queries are the rows whose id is divisible by ``every``, candidates all rows but the query's own. Rows
     are dealt by a hash of their id to blocks, and the query set meets all blocks, in blocks itself: a
     task holds one of each, indexes its rows in all tables and reranks what the queries meet by exact
-    products. Copies of a vector are rows like any others and are spread over the blocks; there is no cap on a bucket.
+    products. A query that meets fewer than k rows in all blocks together visits all buckets. Copies of a vector are rows like any others and are spread over the blocks; there is no cap on a bucket.
     The hash functions are fitted to at most ``sample`` rows (smallest hashes of the id).
 
     Vectors that are null, zero or of another length than most, or that hold null or non-finite components, take no
@@ -149,23 +150,33 @@ def search(
     rows = rows.filter(F.size("v") == facts["size"]).dropDuplicates(["vec_id", "v"])
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     plan = fit(np.array([r["v"] for r in some]), facts["n"], facts["largest"], k, tables, functions, width)
-    n, cores = facts["n"], spark.sparkContext.defaultParallelism
-    blocks = max(math.ceil(n / block), min(2 * cores, math.ceil(n / 2048)))
+    n = facts["n"]
+    blocks = max(math.ceil(n / block), min(least_blocks, math.ceil(n / 2048)))  # by the rows alone, whatever the cluster
     query_blocks = math.ceil(n / every / query_block)
     part = lambda parts, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(parts)).cast("int")
     data = rows.select("vec_id", "v", part(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("queries"))
-    asked = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part(query_blocks, 2).alias("queries"))
-
-    def cell(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(queries) and len(data):
-            ids = data["vec_id"].to_numpy()
-            x = np.stack(data["v"].to_numpy())
-            for at in range(0, len(queries), 1024):
-                part = queries.iloc[at : at + 1024]
-                found += best(np.stack(part["v"].to_numpy()), part["vec_id"].to_numpy(), x, ids, plan, mass, k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    near = asked.groupBy("block", "queries").cogroup(data.groupBy("block", "queries")).applyInPandas(cell, OUT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def nearest(queries: DataFrame, mass: float) -> DataFrame:
+        def cell(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            if len(queries) and len(data):
+                ids = data["vec_id"].to_numpy()
+                x = np.stack(data["v"].to_numpy())
+                for at in range(0, len(queries), 1024):
+                    part = queries.iloc[at : at + 1024]
+                    found += best(np.stack(part["w"].to_numpy()), part["q"].to_numpy(), x, ids, plan, mass, k)
+            return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+
+        asked = queries.select(F.col("vec_id").alias("q"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part(query_blocks, 2).alias("queries"))
+        near = asked.groupBy("block", "queries").cogroup(data.groupBy("block", "queries")).applyInPandas(cell, OUT)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return near.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    asked = rows.filter(F.col("vec_id") % every == 0)
+    first = materialize(nearest(asked, mass), "nearest")
+    # Queries that met too few rows over all blocks go on through all buckets.
+    enough = first.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+    short = asked.join(enough, "vec_id", "left_anti")
+    if short.isEmpty():
+        return first
+    return first.join(enough.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").union(nearest(short, 1.0))
