@@ -16,8 +16,11 @@ from .common import materialize
 from .urls import domain_of, host_of, suffix_of
 
 BINS = 1 << 15
-HIDDEN = re.compile(r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-DECLARED = r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})"
+#: Elements whose content is not shown, and the language that an html tag declares.
+HIDDEN = re.compile(r"<(script|style|template|noscript)\b", re.ASCII)
+ENDS = {name: re.compile(rf"</{name}[ \t\n\x0b\f\r]*>") for name in ("script", "style", "template", "noscript")}
+DECLARED = re.compile(r"[ \t\n\x0b\f\r]lang[ \t\n\x0b\f\r]*=[ \t\n\x0b\f\r]*[\"']?([a-z]{2,3})")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -34,8 +37,48 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def visible(html: str | None) -> str:
-    """The text a reader sees, roughly: without scripts, styles, comments and tags."""
-    return HIDDEN.sub(" ", html or "")
+    """The text a reader sees, roughly: without scripts, styles, comments and tags.
+
+    One pass in linear time: what has no end is looked for once only. An element or comment without end is taken as a tag, a tag without end as text.
+    """
+    if not html:
+        return ""
+    low, out, at, endless = html.translate(LOWER), [], 0, set()
+    while (i := html.find("<", at)) >= 0:
+        out.append(html[at:i])
+        end = -1
+        if html.startswith("<!--", i):
+            if "" not in endless and (end := html.find("-->", i + 4)) < 0:
+                endless.add("")
+            end += 3 if end >= 0 else 0
+        elif (m := HIDDEN.match(low, i)) and m[1] not in endless:
+            if close := ENDS[m[1]].search(low, m.end()):
+                end = close.end()
+            else:
+                endless.add(m[1])
+        if end < 0:
+            end = html.find(">", i) + 1
+            if not end:
+                at = i
+                break
+        out.append(" ")
+        at = end
+    return "".join([*out, html[at:]])
+
+
+def declared(html: str | None) -> str | None:
+    """The first language that an html tag declares, two or three letters in lower case; '' where none does, null for null."""
+    if html is None:
+        return None
+    low, at = html.translate(LOWER), 0
+    while (i := low.find("<html", at)) >= 0:
+        end = low.find(">", i)
+        if m := DECLARED.search(low, i + 5, end if end >= 0 else len(low)):
+            return m[1]
+        if end < 0:
+            break
+        at = end
+    return ""
 
 
 @dataclass
@@ -89,12 +132,6 @@ def text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return TextModel(names, unseen, start, whose[order].astype(np.int32), np.log(2.0 * n[order] + 1).astype(np.float32))
 
 
-def shrunk(counts: DataFrame, keys: Sequence[str], parent: str, kappa: float, name: str) -> DataFrame:
-    """The parent's probabilities blended with the group's shares: (count + kappa parent) / (all + kappa)."""
-    total = F.aggregate("c", F.lit(0.0), lambda s, x: s + x)
-    return counts.withColumn(name, F.zip_with("c", parent, lambda c, p: (c + kappa * p) / (total + kappa))).select(*keys, name)
-
-
 def identify(
     pages: DataFrame,
     docs: DataFrame,
@@ -108,9 +145,10 @@ def identify(
 
     log P(lang | page) adds up
     - per_gram times the log-likelihood of the visible text's trigrams (neighbouring trigrams overlap, hence the factor),
-    - log P(declared | lang): how often pages whose text looks like lang declare this, over all pages,
-    - log P(lang | host): the languages of texts of the host, shrunk to those of its registered domain, those to its suffix and
-      those to all pages, all counted by grouped aggregation.
+    - log P(declared | lang): how often pages whose text looks like lang declare this, over all pages; half a page is added to each
+      declared value, the ones never seen with lang too,
+    - log P(lang | host): the languages of texts of the host's other pages, shrunk to those of its registered domain, those to its suffix and
+      those to all pages, all counted by grouped aggregation and less the page itself.
     So a page with much text is judged by it, one with little by what it declares and where it lies.
 
     docs: (lang, text), the text model. Null html has no text and declares nothing; a null url has the host ''.
@@ -118,48 +156,63 @@ def identify(
     """
     model = text_model(docs)
     names = model.names
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), F.lower(F.regexp_extract(F.col(html_col), DECLARED, 1)).alias("declared"), F.col(html_col).alias("html"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     if not names:
-        return rows.select("page_id", "host", "declared", F.lit(0).cast("long").alias("n_grams"), *(F.lit(None).cast("string").alias(c) for c in ("text_lang", "lang")), F.lit(None).cast("double").alias("posterior"))
+        return rows.select("page_id", "host", F.lit(None).cast("string").alias("declared"), F.lit(0).cast("long").alias("n_grams"), *(F.lit(None).cast("string").alias(c) for c in ("text_lang", "lang")), F.lit(None).cast("double").alias("posterior"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, len(b), 256):
                 part = b.slice(k, 256)
-                grams = [trigrams(visible(h)) for h in part.column(3).to_pylist()]
+                pages_ = part.column(2).to_pylist()
+                grams = [trigrams(visible(h)) for h in pages_]
                 likely = [model.likely(g).tolist() for g in grams]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(g) for g in grams], pa.int64()), pa.array(likely, pa.list_(pa.float64()))], names=["page_id", "host", "declared", "n_grams", "likely"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(map(declared, pages_), pa.string()), pa.array([len(g) for g in grams], pa.int64()), pa.array(likely, pa.list_(pa.float64()))], names=["page_id", "host", "declared", "n_grams", "likely"])
 
-    scored = materialize(rows.mapInArrow(score, "page_id long, host string, declared string, n_grams long, likely array<double>"), "language")
     n, langs = len(names), F.array(*map(F.lit, names))
-    top = F.array_position(F.col("likely"), F.array_max("likely")).cast("int")
-    looks = scored.withColumn("top", F.when(F.col("n_grams") > 0, top)).withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    scored = materialize(rows.mapInArrow(score, "page_id long, host string, declared string, n_grams long, likely array<double>"), "language")
+    top = F.when(F.col("n_grams") > 0, F.array_position("likely", F.array_max("likely")).cast("int"))
+    scored = scored.withColumn("top", top)
+    looks = scored.filter("top is not null").withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
     # Vectors over the languages are made of the pairs that occur, so that the plan is the same for any number of them.
-    vector = lambda rest: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(rest)))
+    each = lambda f: F.transform(F.sequence(F.lit(1), F.lit(n)), f)
     pairs = lambda value: F.map_from_entries(F.collect_list(F.struct("top", F.col(value).cast("double")))).alias("m")
-    per_host = looks.filter("top is not null").groupBy("suffix", "domain", "host", "top").agg(F.count("*").alias("seen"))
-    sums = lambda keys: per_host.groupBy(*keys, "top").agg(F.sum("seen").alias("seen")).groupBy(*keys).agg(pairs("seen")).select(*keys, vector(0.0).alias("c"))
-    uniform = F.array_repeat(F.lit(1.0 / n), n)
-    # One row, then one per suffix, domain and host.
-    everywhere = sums([]).select(F.transform("c", lambda c: (F.coalesce(c, F.lit(0.0)) + 1) / (F.aggregate("c", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) + n)).alias("p0"))
-    p1 = shrunk(sums(["suffix"]).join(F.broadcast(everywhere)), ["suffix"], "p0", kappas[0], "p1")
-    p2 = shrunk(sums(["suffix", "domain"]).join(p1, "suffix"), ["suffix", "domain"], "p1", kappas[1], "p2")
-    p3 = shrunk(sums(["suffix", "domain", "host"]).join(p2, ["suffix", "domain"]), ["host"], "p2", kappas[2], "p3")
+    per_host = materialize(looks.groupBy("suffix", "domain", "host", "top").agg(F.count("*").alias("seen")), "hosts")
+
+    def counts(keys: Sequence[str], name: str) -> DataFrame:
+        totals = per_host.groupBy(*keys, "top").agg(F.sum("seen").alias("seen")).groupBy(*keys).agg(pairs("seen"))
+        return totals.select(*keys, each(lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias(name))
+
+    everywhere = F.broadcast(counts([], "c0"))  # one row
+    hosts = counts(["suffix", "domain", "host"], "c3").join(counts(["suffix", "domain"], "c2"), ["suffix", "domain"]).join(counts(["suffix"], "c1"), "suffix")
     # What pages of each language declare: declared values are short codes, the table is languages times these.
-    said = looks.filter("top is not null").groupBy("declared", "top").agg(F.count("*").alias("n"))
-    of_lang = said.groupBy("top").agg(F.sum("n").alias("all"))
-    share = said.join(of_lang, "top").select("declared", "top", ((F.col("n") + 0.5) / (F.col("all") + 0.5 * (n + 1))).alias("share"))
-    declared = share.groupBy("declared").agg(pairs("share")).select("declared", vector(0.5 / (100 + n)).alias("says"))
+    said = looks.groupBy("declared", "top").agg(F.count("*").alias("seen"))
+    values = F.broadcast(said.agg((F.count_distinct(F.coalesce("declared", F.lit("-"))) + 1).alias("values")))  # one row
+    says = said.groupBy("declared").agg(pairs("seen")).select(F.col("declared").alias("__declared"), each(lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("said"))
+    zero = F.array_repeat(F.lit(0.0), n)
+    own = each(lambda k: F.when(F.col("top") == k, 1.0).otherwise(0.0))
+    less = lambda c: F.zip_with(F.coalesce(c, zero), "own", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+
+    def shrunk(df: DataFrame, c: str, parent: str, kappa: float, name: str) -> DataFrame:
+        """(count + kappa * the parent's probability) / (all + kappa)."""
+        df = df.withColumn(c, less(F.col(c))).withColumn("__all", total(c))
+        return df.withColumn(name, F.zip_with(c, parent, lambda x, p: (x + kappa * p) / (F.col("__all") + kappa)))
+
+    known = scored.join(hosts.drop("suffix", "domain"), "host", "left").join(says, F.col("declared").eqNullSafe(F.col("__declared")), "left").join(everywhere).join(values)
+    known = known.withColumn("own", own).withColumn("all", F.coalesce("c0", zero)).withColumn("uniform", F.array_repeat(F.lit(1.0 / n), n))
+    known = shrunk(known, "c0", "uniform", float(n), "p0")
+    for k, kappa in enumerate(kappas, 1):
+        known = shrunk(known, f"c{k}", f"p{k - 1}", kappa, f"p{k}")
+    known = known.withColumn("says", F.zip_with(F.coalesce("said", zero), "all", lambda x, t: (x + 0.5) / (t + 0.5 * F.col("values"))))
     joined = (
-        scored.join(p3, "host", "left").join(declared, "declared", "left").join(F.broadcast(everywhere))
-        .withColumn("prior", F.coalesce("p3", "p0", uniform)).withColumn("says", F.coalesce("says", F.transform(uniform, lambda x: F.lit(1.0))))
-        .withColumn("logs", F.transform(F.arrays_zip("likely", "prior", "says"), lambda x: per_gram * x["likely"] + F.ln(x["prior"]) + F.ln(x["says"])))
+        known.withColumn("logs", F.transform(F.arrays_zip("likely", F.col("p3").alias("prior"), "says"), lambda x: per_gram * x["likely"] + F.ln(x["prior"]) + F.ln(x["says"])))
         .withColumn("best", F.array_max("logs"))
         .withColumn("whole", F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("best"))))
     )
     return joined.select(
         "page_id", "host", "declared", "n_grams",
-        F.when(F.col("n_grams") > 0, F.element_at(langs, top)).alias("text_lang"),
+        F.when(F.col("top").isNotNull(), F.element_at(langs, F.col("top"))).alias("text_lang"),
         F.element_at(langs, F.array_position("logs", F.col("best")).cast("int")).alias("lang"),
         F.round(1 / F.col("whole"), 9).alias("posterior"),
     )

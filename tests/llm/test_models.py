@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 
 from ledgerline.llm import toxicity as tox
 from ledgerline.llm.binomial import beta_cdf, upper_bound
-from ledgerline.llm.language import identify
+from ledgerline.llm.language import declared, identify, visible
 from ledgerline.llm.neighbours import search
 from ledgerline.llm.quality import RULES, judge, text_stats
 from ledgerline.llm.urls import judge_urls
@@ -181,3 +182,89 @@ def test_every_language_is_modelled(spark):
     pages = [(k, f"http://h{k % 7}.com/", f"<p>{text(k % 90, 30)}</p>") for k in range(180)]
     got = identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()
     assert {x.page_id: (x.text_lang, x.lang) for x in got} == {k: (f"l{k % 90:02d}",) * 2 for k in range(180)}
+
+
+def test_visible_text_takes_linear_time():
+    assert visible('a<!-- <b> -->b<SCRIPT x="1">var c;</Script >d<p title="x">e</p>f<style>g') == "a b d e f g"
+    assert visible(None) == "" and visible("1 < 2") == "1 < 2" and visible("x<!-->y") == "x y"
+    assert declared('<HTML x>..<html dir=ltr lang = "DE-at">') == "de" and declared("<p>") == "" and declared(None) is None and declared("<html><p lang=fr>") == ""
+    for piece in ("<!--", "<script>", "<html ", "<html>", "<", "</script", "<style></script>", " lang "):
+        began = time.perf_counter()
+        visible(piece * (1 << 20))
+        declared(piece * (1 << 18))
+        assert time.perf_counter() - began < 10
+
+
+def test_a_declaration_never_seen_counts_less_than_one_seen_once(spark):
+    """10,000 pages for each of two languages; one page of bb declares zz, none of aa does."""
+    r = random.Random(3)
+    kinds = {"aa": "abcde", "bb": "vwxyz"}
+    text = lambda lang, n: " ".join("".join(r.choice(kinds[lang]) for _ in range(4)) for _ in range(n))
+    docs = spark.createDataFrame([(text(lang, 50), lang) for _ in range(20) for lang in kinds], "text string, lang string")
+    rows = [(k, f"http://h{k}.com/", f"<html lang={lang}><p>{text(lang, 4)}") for k, lang in enumerate(["aa", "bb"] * 10_000)]
+    rows += [(50_000, "http://x.com/", f"<html lang=zz><p>{text('bb', 9)}"), (50_001, "http://y.com/", "<html lang=zz>")]
+    rows += [(60_000 + k, "http://one.org/", f"<html lang=aa><p>{text('aa', 6)}") for k in range(2)] + [(60_010, "http://alone.net/", f"<html><p>{text('aa', 6)}")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x for x in identify(pages, docs).filter("page_id >= 50000").collect()}
+    assert got[50_001].lang == "bb" and got[50_001].posterior > 0.6
+    assert got[60_010].lang == "aa" and got[60_000].lang == "aa"
+
+
+def brute_identify(pages, likely, langs, per_gram=0.25, kappas=(50.0, 20.0, 10.0)):
+    """pages: (suffix, domain, host, declared), likely: each page's log-likelihoods or none."""
+    n, looks = len(langs), [None if x is None else int(np.argmax(x)) for x in likely]
+    values = len({p[3] for p, t in zip(pages, looks) if t is not None}) + 1
+    out = []
+    for i, p in enumerate(pages):
+        prior = np.full(n, 1.0 / n)
+        for level, kappa in zip(range(4), (n, *kappas)):
+            c = np.zeros(n)
+            for j, q in enumerate(pages):
+                if j != i and looks[j] is not None and q[:level] == p[:level]:
+                    c[looks[j]] += 1
+            prior = (c + kappa * prior) / (c.sum() + kappa)
+        said, all_ = np.zeros(n), np.zeros(n)
+        for j, q in enumerate(pages):
+            if looks[j] is not None:
+                all_[looks[j]] += 1
+                said[looks[j]] += q[3] == p[3]
+        logs = (0 if likely[i] is None else per_gram * np.array(likely[i])) + np.log(prior) + np.log((said + 0.5) / (all_ + 0.5 * values))
+        e = np.exp(logs - logs.max())
+        out.append((langs[int(e.argmax())], 1 / e.sum()))
+    return out
+
+
+def test_posteriors_are_those_of_brute_force(spark):
+    r = random.Random(12)
+    kinds = {"aa": "abcdef", "bb": "defghi", "cc": "ghijkl"}
+    text = lambda lang, n: " ".join("".join(r.choice(kinds[lang]) for _ in range(3)) for _ in range(n))
+    docs = spark.createDataFrame([(text(lang, 60), lang) for _ in range(10) for lang in kinds], "text string, lang string")
+    hosts = [("com", "a.com", "x.a.com"), ("com", "a.com", "y.a.com"), ("com", "b.com", "b.com"), ("co.uk", "c.co.uk", "c.co.uk"), ("org", "d.org", "w.d.org")]
+    rows, known = [], []
+    for k in range(60):
+        at, lang, says = r.choice(hosts), r.choice(list(kinds)), r.choice(["aa", "bb", "cc", "xx", ""])
+        body = text(lang, r.choice([0, 1, 2, 12]))
+        rows.append((k, f"http://{at[2]}/{k}", f'<html{" lang=" + says if says else ""}><p>{body}'))
+        known.append((*at, says))
+    from ledgerline.llm.language import text_model, trigrams
+
+    model = text_model(docs)
+    grams = [trigrams(visible(h)) for _, _, h in rows]
+    want = brute_identify(known, [model.likely(g) if len(g) else None for g in grams], model.names)
+    got = {x.page_id: x for x in identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    for k, (lang, p) in enumerate(want):
+        assert got[k].posterior == pytest.approx(p, abs=1e-8) and (got[k].lang == lang or p < 0.5 + 1e-9)
+
+
+def test_neighbours_at_the_registered_parameters(spark):
+    """Several blocks; isotropic vectors, where an index can help least."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((5000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for g in search(df).collect():
+        got.setdefault(g.query_id, set()).add(g.vec_id)
+    y = x.astype(np.float32).astype(float)
+    hits = sum(len(got[q] & {k for k in sorted((k for k in range(5000) if k != q), key=lambda k: (-s[k], k))[:20]}) for q in range(0, 5000, 20) for s in [y @ y[q]])
+    assert hits / (20 * 250) >= 0.9 and all(len(v) == 20 for v in got.values())
