@@ -207,7 +207,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         for b in batches:
             held: list[list[np.ndarray]] = [[] for _ in range(6)]
             size = 0
-            for doc, tie, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), map(pa.Scalar.as_py, b.column(2)), strict=True):
+            for doc, tie, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (t.as_py() for t in b.column(2)), strict=True):
                 data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                 if len(data) >= length:
                     anchor, context, start, n, places = anchor_runs(data, length)
