@@ -61,7 +61,7 @@ class Words:
     are told apart. All other chunks are encoded by the whole tokenizer, each by itself.
     """
 
-    def __init__(self, path: str, size: int = 300_000) -> None:
+    def __init__(self, path: str, size: int = 700_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -123,9 +123,9 @@ class Words:
 
 
 @functools.cache
-def words_of(path: str) -> Words:
+def words_of(path: str, size: int) -> Words:
     """One per Python worker, kept from task to task."""
-    return Words(path)
+    return Words(path, size)
 
 
 def pack(
@@ -138,11 +138,13 @@ def pack(
     quadratic: float = 1 / 4096,
     id_col: str = "doc_id",
     text_col: str = "text",
+    cached_words: int = 700_000,
 ) -> DataFrame:
     """Tokenize every document, end it with end_id and pack all into sequences of capacity tokens.
 
     Each input partition is packed by itself in blocks of about block_tokens tokens, so nothing
-    is shuffled, memory is bounded, and a lost task gives the same sequences when it runs again.
+    is shuffled, memory is bounded, and a lost task gives the same sequences when it runs again. A Python worker
+    keeps the ids of twice cached_words words at most.
     sequence_id is partition * 2^33 + number. At most one sequence's worth of padding per block.
 
     Null and empty texts are the end token alone; repeated rows are packed each; null ids stay
@@ -153,7 +155,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, base = words_of(tokenizer_path), TaskContext.get().partitionId() << 33
+        words, base = words_of(tokenizer_path, cached_words), TaskContext.get().partitionId() << 33
         names, texts, held = [], [], 0
 
         def flush() -> pa.RecordBatch:

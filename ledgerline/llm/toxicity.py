@@ -170,16 +170,16 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: i
     return [r["text"] for r in found if r["toxic"] == 1], [r["text"] for r in found if r["toxic"] == 0], (count["n"] - bad) / bad if bad else 1.0
 
 
-def scores(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``keep`` columns and score of each document, from its whole text alone."""
-    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
+def scores(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``keep`` columns and score of each document, from its whole text alone. score_col: a name that no kept column has."""
+    schema = docs.select(*keep).withColumn(score_col, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains, w = Gains(model.toxic, model.ordinary), np.array(model.weights)
         for b in batches:
             x = np.array([features(gains.of(windows(t.as_py()))) for t in b.column(b.num_columns - 1)]).reshape(-1, len(w))
             score = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], score_col])
 
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
