@@ -6,7 +6,7 @@ names, numbers, indents; it matters, since a heading that starts with digits end
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,10 +42,16 @@ def tag_street_names(lines: DataFrame, streets: DataFrame | None = None, inflate
     return tall.withColumns({"linetype": F.when(is_name, STREET).otherwise(F.col("linetype")), "street": F.when(is_name, F.col("__name")).otherwise(F.col("street"))}).drop("__name")
 
 
-def correct_street_names(lines: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Manual headings: fixes are (page_idx, col_idx, line_idx, name); a NULL name takes the line's content."""
-    named = lines.join(fixes.withColumn("__fix", F.lit(True)), ORDER, "left")
-    return named.withColumns({"street": F.when(F.col("__fix"), F.coalesce("name", "content")).otherwise(F.col("street")), "linetype": F.when(F.col("__fix"), STREET).otherwise(F.col("linetype"))}).drop("name", "__fix")
+def correct_street_names(lines: DataFrame, fixes: DataFrame, streets: DataFrame | None = None, cutoff: float = 0.75) -> DataFrame:
+    """Manual headings: fixes are (page_idx, col_idx, line_idx, name); a NULL or empty name takes the line's content.
+
+    With a list of streets (one column) the heading becomes its best match there, and stays as it is without one.
+    """
+    named = lines.join(fixes.withColumn("__fix", F.lit(True)), ORDER, "left").withColumn("name", F.when(F.col("__fix"), F.coalesce(F.nullif("name", F.lit("")), "content")))
+    if streets is not None:
+        found = best_matches(named, "name", streets, streets.columns[0], cutoff).select(F.col("query").alias("__query"), F.col("match").alias("__match"))
+        named = named.join(found, F.col("name") == F.col("__query"), "left").withColumn("name", F.coalesce("__match", "name")).drop("__query", "__match")
+    return named.withColumns({"street": F.when(F.col("__fix"), F.col("name")).otherwise(F.col("street")), "linetype": F.when(F.col("__fix"), STREET).otherwise(F.col("linetype"))}).drop("name", "__fix")
 
 
 def tag_street_numbers(lines: DataFrame) -> DataFrame:
@@ -133,8 +139,12 @@ def distribute_addresses(lines: DataFrame) -> DataFrame:
     return filled.withColumns({"street": F.when(heading, F.coalesce("street", "__street")).otherwise(F.col("__street")), "number": F.when(heading, F.col("number")).otherwise(F.col("__number"))}).drop("__street", "__number")
 
 
-def structured(lines: DataFrame, streets: DataFrame | None = None, fixes: DataFrame | None = None) -> DataFrame:
-    """All steps, in their order."""
-    tagged = tag_indented(tag_street_numbers(tag_street_names(measured(lines), streets)))
-    merged = merge_indented(tagged)
+def structured(
+    lines: DataFrame, streets: DataFrame | None = None, fixes: DataFrame | None = None,
+    names: Mapping[str, object] | None = None, indents: Mapping[str, object] | None = None, preserve_empty_headers: bool = False,
+) -> DataFrame:
+    """All steps, in their order. names and indents: settings of tag_street_names and tag_indented other than their defaults."""
+    named = tag_street_names(measured(lines), streets, **(names or {}))
+    tagged = tag_indented(tag_street_numbers(named), **(indents or {}))
+    merged = merge_indented(tagged, preserve_empty_headers)
     return distribute_addresses(correct_street_names(merged, fixes) if fixes is not None else merged)

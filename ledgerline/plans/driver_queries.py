@@ -173,13 +173,13 @@ def reverse_cum_p(t):
     return pareto.positions(_price_brackets(t)).select("id", "bracket", "n", F.round("p", 9).alias("p"), F.round("average", 4).alias("average"))
 
 
-TAX_SQL = """with o as (select c_nationkey as id, o_totalprice as v, least(floor(o_totalprice / 35000), 12)::int + 1 as k from orders join customer on c_custkey = o_custkey),
+TAX = """with o as (select c_nationkey as id, o_totalprice as v, least(floor(o_totalprice / 35000), 12)::int + 1 as k from orders join customer on c_custkey = o_custkey),
     w as (select id, count(*)::double as N_people, avg(v) / 40 as income, (count(*) filter (k = 13))::double as N_people_income_tax, (count(*) filter (k = 1 and v < 9000))::double as ex,
         """ + ", ".join(f"(count(*) filter (k = {k} and v >= 9000))::double / 2 as c{k}" for k in range(1, 13)) + """ from o group by id),
     a as (select *, """ + " + ".join(f"c{k}" for k in range(1, 13)) + """ as units_class, """ + " + ".join(f"c{k} * {m}" for k, m in enumerate(pareto.MIDPOINT, 1)) + """ as income_class from w),
     b as (select *, ex / nullif((N_people - N_people_income_tax - ex) / nullif(units_class, 0), 0) as units_exempt, N_people_income_tax * (25200 / 82062) as units_income from a),
-    c as (select *, case when units_income = 0 then 0 else N_people * income - income_class - units_exempt * 150 end as income_tax from b)
-    select id, round(units_class, 6) as units_class, round(units_exempt, 6) as units_exempt, round(units_income, 6) as units_income, round(income_tax, 4) as income_tax,
+    c as (select *, case when units_income = 0 then 0 else N_people * income - income_class - units_exempt * 150 end as income_tax from b) """
+TAX_SQL = TAX + """select id, round(units_class, 6) as units_class, round(units_exempt, 6) as units_exempt, round(units_income, 6) as units_income, round(income_tax, 4) as income_tax,
         round((income_tax + income_class + units_exempt * 150) / nullif(units_exempt + units_class + units_income, 0), 4) as mean_income from c"""
 
 
@@ -200,12 +200,12 @@ def tax_units(t):
     return u.select("id", *(F.round(c, 6).alias(c) for c in ("units_class", "units_exempt", "units_income")), *(F.round(c, 4).alias(c) for c in ("income_tax", "mean_income")))
 
 
-@query("""select id, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12])::int as bracket, unnest(["""
-    + ", ".join(f"c{k}" for k in range(1, 13)) + "]) as n, unnest([" + ", ".join(f"{x}.0" for x in pareto.LOWER[:12]) + "])::double as lower, unnest([" + ", ".join(f"c{k} * {m}" for k, m in enumerate(pareto.MIDPOINT, 1))
-    + "]) as wealth from (select c_nationkey as id, " + ", ".join(f"(count(*) filter (least(floor(o_totalprice / 35000), 12) = {k - 1} and o_totalprice >= 9000))::double / 2 as c{k}" for k in range(1, 13))
-    + " from orders join customer on c_custkey = o_custkey group by 1)")
+@query(TAX + "select id, bracket, round(n, 6) as n, lower, round(wealth, 6) as wealth from (select id, unnest(range(1, 14))::int as bracket, unnest(["
+    + ", ".join(f"c{k}" for k in range(1, 13)) + ", units_income]) as n, unnest([" + ", ".join(f"{x}.0" for x in pareto.LOWER) + "])::double as lower, unnest(["
+    + ", ".join(f"c{k} * {m}" for k, m in enumerate(pareto.MIDPOINT, 1)) + ", income_tax]) as wealth from c)")
 def bracket_tabulation(t):
-    return pareto.bracket_rows(pareto.tax_units(_tax(t))).filter("bracket <= 12").select("id", "bracket", "n", "lower", "wealth")
+    rows = pareto.bracket_rows(pareto.tax_units(_tax(t)))
+    return rows.select("id", "bracket", F.round("n", 6).alias("n"), "lower", F.round("wealth", 6).alias("wealth"))
 
 
 def _share_sql(position: str) -> str:
@@ -251,10 +251,12 @@ def fitted_points(t):
     return rows.select("o_orderpriority", "o_custkey", "o_totalprice", F.round("fit", 4).alias("fit"))
 
 
-@query("""select doc_id, n_chars > avg(n_chars) over (partition by lang) + 3 * stddev_pop(n_chars) over (partition by lang) as tall from documents""")
+@query("""select doc_id, coalesce(n_chars > avg(n_chars) over (partition by lang) + 3 * stddev_pop(n_chars) over (partition by lang), false) as tall from documents""")
 def outlier_flag(t):
-    w = Window.partitionBy("lang")
-    return t("documents").select("doc_id", (F.col("n_chars") > F.avg("n_chars").over(w) + 3 * F.stddev_pop("n_chars").over(w)).alias("tall"))
+    """Documents as lines whose height is their length, languages as columns: the tall ones are headings."""
+    none = F.lit(None).cast("string").alias("street")
+    rows = t("documents").select("doc_id", F.lit(0).alias("page_idx"), F.col("lang").alias("col_idx"), F.lit("x").alias("content"), F.col("n_chars").alias("bbox_height"), F.lit(lines.ENTRY).alias("linetype"), none)
+    return lines.tag_street_names(rows).select("doc_id", (F.col("linetype") == lines.STREET).alias("tall"))
 
 
 @query("""with m as (select l_returnflag, l_linestatus, median(l_extendedprice) + stddev_pop(l_extendedprice) as lim from lineitem group by 1, 2)

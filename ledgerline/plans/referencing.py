@@ -16,9 +16,9 @@ from ..operators.match import via_distinct, within_first
 from ..operators.status import coded, scored
 
 
-def occupation_table(lines: DataFrame, model: Crf, streets: DataFrame | None = None, fixes: DataFrame | None = None) -> DataFrame:
-    """Structure, label and flatten; empty street, number and occupation are ''."""
-    entries = parse_entries(structured(lines, streets, fixes), model)
+def occupation_table(lines: DataFrame, model: Crf, streets: DataFrame | None = None, fixes: DataFrame | None = None, **settings: object) -> DataFrame:
+    """Structure, label and flatten; empty street, number and occupation are ''. settings: further arguments of structured()."""
+    entries = parse_entries(structured(lines, streets, fixes, **settings), model)
     return occupations(entries, sanitized=True).na.fill("", ["street", "number", "occupation"]).withColumn("address", address("street", "number"))
 
 
@@ -33,12 +33,15 @@ def headings(lines: DataFrame) -> DataFrame:
     return lines.filter("linetype = 'STREETNAME'").select("page_idx", "col_idx", "line_idx", "street").orderBy("page_idx", "col_idx", "line_idx")
 
 
-def referenced(rows: DataFrame, places: Sequence[DataFrame], references: Sequence[DataFrame], scores: DataFrame, tracts: DataFrame, cutoff: float = 0.5) -> DataFrame:
-    """Adds x_i, y_i, sb_i per table of addresses and hisco_i, hiscam_i per occupation list. Each lookup runs on distinct keys."""
+def referenced(rows: DataFrame, places: Sequence[DataFrame], references: Sequence[DataFrame], scores: DataFrame, tracts: DataFrame, cutoff: float = 0.5, cell: float | None = None) -> DataFrame:
+    """Adds x_i, y_i, sb_i per table of addresses and hisco_i, hiscam_i per occupation list. Each lookup runs on distinct keys.
+
+    cell: width of the grid by which points and tracts meet, of about a tract's; without it every point meets every bounding box.
+    """
     out = rows
     for i, place in enumerate(places, 1):
         found = via_distinct(rows.select("address"), "address", lambda keys, place=place: geocode(keys, "address", place)).distinct()
-        zoned = within_first(found, tracts, "x", "y").select("address", F.col("x").alias(f"x_{i}"), F.col("y").alias(f"y_{i}"), F.col("zone").alias(f"sb_{i}"))
+        zoned = within_first(found, tracts, "x", "y", cell=cell).select("address", F.col("x").alias(f"x_{i}"), F.col("y").alias(f"y_{i}"), F.col("zone").alias(f"sb_{i}"))
         out = out.join(zoned, "address", "left")
     for i, reference in enumerate(references, 1):
         codes = scored(coded(rows.select("occupation").distinct(), reference, f"hisco_{i}", cutoff), scores, f"hisco_{i}", f"hiscam_{i}")

@@ -45,7 +45,7 @@ def parse_page(xml: bytes) -> list[tuple[int, int, str, str]]:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all pages of a folder; pages are numbered by file name."""
+    """Lines of all pages of a folder; pages are numbered by file name, those without lines too."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path).select(F.element_at(F.split("path", "/"), -1).alias("page_file"), "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,7 +53,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame([(f, *r) for f, xml in zip(b["page_file"], b["content"], strict=True) for r in parse_page(xml)], columns=["page_file", "col_idx", "line_idx", "content", "coords"])
 
     lines = files.mapInPandas(parse, LINES)
-    names = lines.select("page_file").distinct().withColumn("page_idx", F.row_number().over(Window.orderBy("page_file")) - 1)  # one row per page
+    # One row per page, from the listing: contents are read for the lines alone.
+    names = files.select("page_file").distinct().withColumn("page_idx", F.row_number().over(Window.orderBy("page_file")) - 1)
     return lines.join(names, "page_file").select("page_idx", "col_idx", "line_idx", "content", "coords", "page_file")
 
 
@@ -65,6 +66,15 @@ def ground_truth(lines: DataFrame) -> DataFrame:
     return lines.select(F.struct("page_idx", "col_idx", "line_idx").alias("line"), F.posexplode(tokens).alias("pos", "token"))
 
 
+def write_ground_truth(lines: DataFrame, page_idx: int, path: str) -> None:
+    """A page's tokens as one quoted CSV (sentence, token, label), to be labelled by hand: START and END have their labels, the others none."""
+    rows = ground_truth(lines.filter(F.col("page_idx") == page_idx))
+    last = F.max("pos").over(Window.partitionBy("line"))
+    numbered = rows.select(F.dense_rank().over(Window.orderBy("line")).alias("sentence"), "pos", "token", last.alias("last"))  # one page
+    label = F.when(F.col("pos") == 0, "START").when(F.col("pos") == F.col("last"), "END")
+    numbered.orderBy("sentence", "pos").select("sentence", "token", label.alias("label")).coalesce(1).write.csv(path, quoteAll=True, nullValue="")
+
+
 def line_texts(lines: DataFrame) -> DataFrame:
     """(page_file, col_idx, line_idx, text, x0, y0, x1, y1): each line's text for a recognizer's training, with the box to cut from the page's image."""
     from ..functions.geometry import points

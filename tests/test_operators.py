@@ -45,6 +45,10 @@ def test_names_and_indents(spark):
     assert [r.line_idx for r in lines.tag_indented(named).filter(F.col("linetype") == lines.INDENTED).collect()] == [3]
     fixed = lines.correct_street_names(rows, spark.createDataFrame([(0, 0, 2, None), (0, 0, 4, "N")], "page_idx int, col_idx int, line_idx int, name string"))
     assert {(r.line_idx, r.street) for r in fixed.filter(F.col("linetype") == lines.STREET).collect()} == {(2, "l2"), (4, "N")}
+    fixes = spark.createDataFrame([(0, 0, 2, ""), (0, 0, 4, "Astrasse"), (0, 0, 6, "none")], "page_idx int, col_idx int, line_idx int, name string")
+    fixed = lines.correct_street_names(rows, fixes, spark.createDataFrame([("Astraße",), ("l2",)], "name string"), 0.6)
+    assert {(r.line_idx, r.street) for r in fixed.filter(F.col("linetype") == lines.STREET).collect()} == {(2, "l2"), (4, "Astraße"), (6, "none")}
+    assert fixed.count() == 20 and fixed.columns == rows.columns
 
 
 def test_reduced_labels(spark):

@@ -1,5 +1,6 @@
 """Readers, the referencing plan from pages to scores, and the labeller over a stream."""
 
+import csv
 import json
 import sqlite3
 import struct
@@ -29,7 +30,9 @@ def test_pages(spark, tmp_path):
     (tmp_path / "p2.xml").write_text(PAGE.format(a=a, b=b))
     (tmp_path / "p1.xml").write_text(PAGE.format(a=line(box(0, 0), (0, "one")), b=""))
     rows = {(r.page_idx, r.col_idx, r.line_idx): r.content for r in pagexml.read_pages(spark, str(tmp_path)).collect()}
-    assert rows == {(0, 1, 0): "one", (1, 1, 0): "second", (1, 1, 1): "first", (1, 0, 0): "", (1, 0, 1): ""}
+    (tmp_path / "p0.xml").write_text(PAGE.format(a="", b=""))  # a page without lines has its number
+    later = {(r.page_idx - 1, r.col_idx, r.line_idx): r.content for r in pagexml.read_pages(spark, str(tmp_path)).collect()}
+    assert rows == later == {(0, 1, 0): "one", (1, 1, 0): "second", (1, 1, 1): "first", (1, 0, 0): "", (1, 0, 1): ""}
 
 
 def test_training_and_score_files(spark, tmp_path):
@@ -67,6 +70,15 @@ def model():
     return labels.train(made)
 
 
+def test_ground_truth_file(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 0, 1, "START,b"), (0, 0, 0, "a"), (1, 0, 0, "z")], "page_idx int, col_idx int, line_idx int, content string")
+    pagexml.write_ground_truth(rows, 0, str(tmp_path / "g"))
+    (part,) = (tmp_path / "g").glob("*.csv")
+    with part.open(newline="") as f:
+        got = [tuple(r) for r in csv.reader(f)]
+    assert got == [("1", "START", "START"), ("1", "a", ""), ("1", "END", "END"), ("2", "START", "START"), ("2", "START", ""), ("2", ",", ""), ("2", "b", ""), ("2", "END", "END")]
+
+
 def test_ground_truth(spark):
     rows = spark.createDataFrame([(0, 0, 0, "a&b, c", "p", "1,2 3,4")], "page_idx int, col_idx int, line_idx int, content string, page_file string, coords string")
     assert [r.token for r in pagexml.ground_truth(rows).orderBy("pos").collect()] == ["START", "a&b", ",", "c", "END"]
@@ -75,6 +87,10 @@ def test_ground_truth(spark):
     assert pagexml.image_urls(spark, "u/%s.jpg", 9, 10, 3).orderBy("page").collect()[1].url == "u/010.jpg"
 
 
+def referenced_rows(df):
+    return sorted(map(str, df.select(sorted(df.columns)).collect()))
+
+
 def test_from_pages_to_scores(spark, tmp_path):
     body = [("Astr", 40, 0), ("1 Adam, Maurer.", 10, 0), ("Bonk,", 10, 0), ("Maurer.", 10, 60)] + [(f"Name{k}, Maurer.", 10, 0) for k in range(14)]
     a = "".join(line(box(x, 50 * k, h), (0, t)) for k, (t, h, x) in enumerate(body))
@@ -86,7 +102,8 @@ def test_from_pages_to_scores(spark, tmp_path):
     jobs = spark.createDataFrame([("Maurer", "09510*", 0)], "occupation string, hisco string, row_idx long")
     scores = spark.createDataFrame([("09510", 50.0)], "hisco string, hiscam double")
     tracts = spark.createDataFrame([("7", 0, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])], "id string, zone_idx int, ring array<struct<x: double, y: double>>")
-    out = referencing.referenced(rows, [places] * 3, [jobs] * 3, scores, tracts)
+    out = referencing.referenced(rows, [places] * 3, [jobs] * 3, scores, tracts, cell=0.5)
+    assert referenced_rows(referencing.referenced(rows, [places] * 3, [jobs] * 3, scores, tracts)) == referenced_rows(out)
     long = referencing.long_form(out)
     assert {(r.geo_m, r.status_m, r.id, r.n, r["mean"]) for r in referencing.tract_statistics(long).collect()} == {(g, s, 7, 16, 50.0) for g in (1, 2, 3) for s in (1, 2, 3)}
     assert referencing.tract_top_shares(long).filter("share is not null").count() == 0
