@@ -73,11 +73,37 @@ def op10_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10)
+
+
+def op12_chat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import by_conversation, canonical_turns, digests, formatted
+
+    said = r"\### Assistant: </turn> ok"
+    one = spark.createDataFrame([(-7, [("user", said), ("assistant", said)])], "conv_id long, messages array<struct<role string, content string>>")
+    records = by_conversation(table(spark, sf_dir, "conversations")).unionByName(one, allowMissingColumns=True)
+    return digests(formatted(canonical_turns(records, "conv_id")), "conv_id")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), max_words=3, least=10, top=2000)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    from .urls import oracle
-
-    return {"op4_url_reputation": oracle()}
+    from . import chat, clustering, collocations, urls
+
+    return {
+        "op4_url_reputation": urls.oracle(),
+        "op11_delta_lloyd": clustering.oracle(),
+        "op12_chat_fingerprints": chat.oracle(),
+        "op13_phrase_collocations": collocations.oracle(),
+    }
