@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, release
-from .hashing import INVERSE, U, mix, powers, prefix_hashes, span_hash
+from .hashing import BASE, INVERSE, LANE, U, mix, powers, prefix_hashes, span_hash
 
 GRAM = 32
 RUN = "anchor long, context long, doc long, at long, n int, places int"
@@ -35,11 +35,29 @@ def grams(h: np.ndarray) -> np.ndarray:
     return mix((h[GRAM:] - h[:-GRAM]) * powers(INVERSE, n)[:n])
 
 
+#: Longer contexts, as in periodic text, are hashed one by one.
+LONG = 4096
+
+
+def context_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each data[start : start + size], eight bytes at a time through the mixer: not linear in them, unlike prefix hashes."""
+    lanes = np.ndarray((len(data),), "<u8", data.tobytes() + bytes(8), strides=(1,))
+    h = mix(size.astype(U) * U(BASE))
+    left, at = np.flatnonzero(size <= LONG), 0
+    while len(left):
+        h[left] = mix(h[left] ^ mix((lanes[start[left] + at] & LANE[np.minimum(size[left] - at, 8)]) + U(0x9E3779B97F4A7C15)))
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest())
+    return h
+
+
 def anchor_runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(anchor, context, start, n, places) for all windows of ``length`` bytes, n windows from start at a time.
+    """(anchor, start, n, places) for all windows of ``length`` bytes, n windows from start at a time.
 
     A window's anchor is the least hash of the GRAM-byte strings in it, so equal windows have equal anchors.
-    Neighbouring windows of the same anchor are one run; its context hash covers all their bytes. places is 2
+    Neighbouring windows of the same anchor are one run; its context is all their bytes. places is 2
     where the anchor comes again within the run, as in periodic text: only then can its own windows be equal.
     """
     h, span = prefix_hashes(data), length - GRAM + 1
@@ -50,7 +68,7 @@ def anchor_runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     n = end - start
     place = np.concatenate([part + g[part[:, None] + np.arange(span)].argmin(axis=1) for part in np.split(start, range(2048, len(start), 2048))])
     places = np.where(end - 1 > place, 2, 1)
-    return least[start], mix(span_hash(h, start, end - 1 + length) + n.astype(U)), start, n, places
+    return least[start], start, n, places
 
 
 class Suffixes:
@@ -181,18 +199,22 @@ def arrays(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U else c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f[0] for f in fields])
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """The columns ``keep``, __id, __text and spans for every row: spans are [start, bytes) of the text's UTF-8 that earlier strings cover.
+def repeated_spans(
+    docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), bucket: int = BUCKET, context_bits: int = 64
+) -> DataFrame:
+    """The columns ``keep``, __id, __text and __spans for every row: spans are [start, bytes) of the text's UTF-8 that earlier strings cover.
 
     A byte is covered if a ``length``-byte string over it also starts earlier: in a document of smaller id, or earlier in its own.
 
     1. Runs of windows with a common anchor (see anchor_runs) are cut from all texts. Runs whose anchor occurs
-       once hold nothing repeated. Of runs with equal context all but the first are covered.
-    2. What is left are different contexts around the same anchor. Their bytes come together by anchor, and
+       once hold nothing repeated. Of runs with equal context hash all but the first are taken for copies of it: neighbouring ones are
+       joined to long spans, and a span is covered if its bytes equal those of the first.
+    2. What is left are different contexts around the same anchor, and copies whose bytes were not equal. Their bytes come together by anchor, and
        their suffixes are sorted by hash comparison; of equal windows all but the first are covered, after
-       comparing their bytes. Anchors with many windows are dealt to buckets of documents, whose
-       first windows then meet by hash, so no anchor has to fit one task.
+       comparing their bytes. Anchors with over ``bucket`` windows are dealt to buckets of documents, so no anchor has to fit one task. First
+       windows of buckets that share two hashes then meet by their bytes.
 
+    So bytes decide on every path; hashes (of ``context_bits`` bits) only choose what is compared.
     Matches never cross documents. Null texts are empty. Null ids come last. Rows of the same id and text are the same
     document and get the same spans; rows of the same id and other texts are documents ordered by a hash of the text.
     """
@@ -204,47 +226,91 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     rows, whole = rows.withColumn("__tie", tie("text")), whole.withColumn("__tie", tie("__text"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            anchor, begin, size, doc, at, n, places = map(np.concatenate, held)
+            context = context_hashes(np.concatenate(texts), begin, size) >> U(64 - context_bits)
+            return arrays(RUN, anchor, context, doc, at, n, places)
+
+        texts: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = [[] for _ in range(7)]
+        size = count = 0
         for b in batches:
-            held: list[list[np.ndarray]] = [[] for _ in range(6)]
-            size = 0
             for doc, tie, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (t.as_py() for t in b.column(2)), strict=True):
                 data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                 if len(data) >= length:
-                    anchor, context, start, n, places = anchor_runs(data, length)
-                    for column, x in zip(held, (anchor, context, np.full(len(n), doc), start + (tie << 31), n, places), strict=True):
+                    anchor, start, n, places = anchor_runs(data, length)
+                    for column, x in zip(held, (anchor, start + size, n - 1 + length, np.full(len(n), doc), start + (tie << 31), n, places), strict=True):
                         column.append(x)
-                    size += len(n)
-                if size > 200_000:
-                    yield arrays(RUN, *map(np.concatenate, held))
-                    held, size = [[] for _ in range(6)], 0
-            if size:
-                yield arrays(RUN, *map(np.concatenate, held))
+                    texts.append(data)
+                    size, count = size + len(data), count + len(n)
+                if count > 100_000:
+                    yield flush()
+                    texts, held, size, count = [], [[] for _ in range(7)], 0, 0
+        if count:
+            yield flush()
 
     found = rows.select("__doc", "__tie", "text").mapInArrow(runs, RUN)
     shared = found.groupBy("anchor").agg(F.sum("places").alias("c")).filter("c > 1").select("anchor")
-    several = materialize(found.join(shared, "anchor"), "runs")
-    first = several.groupBy("anchor", "context").agg(F.min(F.struct("doc", "at")).alias("f"), F.first("n").alias("n"), F.max("places").alias("places"))
-    first = materialize(first, "first")
-    copies = several.join(first.select("anchor", "context", "f"), ["anchor", "context"]).filter("doc <> f.doc or at <> f.at").select("doc", "at", "n")
-    mixed = first.groupBy("anchor").agg(F.sum("places").alias("c"), F.sum("n").alias("windows")).filter("c > 1").select("anchor", "windows")
+    several = found.join(shared, "anchor")
+    several = materialize(several if distinct else several.dropDuplicates(["doc", "at"]), "runs")
+    first = materialize(several.groupBy("anchor", "context").agg(F.min(F.struct("doc", "at", "n", "places")).alias("f")), "first")
     split = F.lit((1 << 31) - 1)
-    ours = (
-        first.join(mixed, "anchor")
-        .select(F.col("f.doc").alias("__doc"), F.shiftrightunsigned("f.at", 31).alias("__tie"), F.struct("anchor", F.col("f.at").bitwiseAND(split).alias("start"), "n", F.ceil(F.col("windows") / BUCKET).alias("buckets")).alias("r"))
-        .groupBy("__doc", "__tie").agg(F.collect_list("r").alias("runs"))  # bounded by the document's length
-    )
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for doc, tie, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                salt = int(mix(np.array([doc ^ tie], np.int64).view(U))[0])
-                out += ((r["anchor"], salt % r["buckets"], r["buckets"], doc, r["start"] + (tie << 31), raw[r["start"] : r["start"] + r["n"] - 1 + length]) for r in wanted)
-            yield pa.RecordBatch.from_pylist([dict(zip(CUT, r, strict=True)) for r in out], schema=CUT_ARROW)
-
-    once = rows.dropDuplicates(["__doc", "__tie"]) if not distinct else rows
-    contexts = materialize(once.join(ours, ["__doc", "__tie"]).select("__doc", "__tie", "text", "runs").mapInArrow(cut, "anchor long, bucket long, buckets long, doc long, at long, context binary"), "contexts")
+    upper = lambda c: F.shiftrightunsigned(c, 31)
+    one = rows.dropDuplicates(["__doc", "__tie"]) if not distinct else rows
+
+    # 1. Copies of first runs, neighbours joined where both sides go on.
+    taken = several.join(first.select("anchor", "context", "f"), ["anchor", "context"]).filter("doc <> f.doc or at <> f.at").select("doc", "at", "n", "f")
+    in_text = Window.partitionBy("doc", upper("at")).orderBy("at")
+    goes_on = (F.lag("f.doc").over(in_text) == F.col("f.doc")) & (F.lag(F.col("at") + F.col("n")).over(in_text) == F.col("at")) & (F.lag(F.col("f.at") + F.col("n")).over(in_text) == F.col("f.at"))
+    cuts = taken.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("island", F.sum("new").over(in_text))
+    pairs = cuts.groupBy("doc", upper("at").alias("tie"), "island").agg(F.min(F.struct("at", "f")).alias("a"), F.sum("n").alias("n")).select("doc", "a.at", "n", F.col("a.f.doc").alias("fdoc"), F.col("a.f.at").alias("fat"))
+    pairs = materialize(pairs, "pairs")
+
+    def sorted_runs(runs: DataFrame) -> DataFrame:
+        """Wanted contexts (doc, at, n, anchor, buckets) of runs that share their anchor with another, or with themselves."""
+        mixed = runs.groupBy("anchor").agg(F.sum("places").alias("c"), F.sum("n").alias("windows")).filter("c > 1").select("anchor", "windows")
+        return runs.join(mixed, "anchor").select("doc", "at", "n", "anchor", F.ceil(F.col("windows") / bucket).alias("buckets"))
+
+    def texts(wanted: DataFrame, label: str) -> DataFrame:
+        """The bytes of wanted stretches: kind, doc, at, n (windows), and what came with them; each text is read once."""
+        ours = wanted.select(F.col("doc").alias("__doc"), upper("at").alias("__tie"), F.struct("kind", F.col("at").bitwiseAND(split).alias("start"), "n", "anchor", "buckets", "fdoc", "fat").alias("r"))
+        ours = ours.groupBy("__doc", "__tie").agg(F.collect_list("r").alias("wanted"))  # bounded by the document's length
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[tuple] = []
+                held = 0
+                for i in range(len(b)):
+                    doc, tie, text, wanted = (b.column(k)[i].as_py() for k in range(4))
+                    raw = text.encode("utf-8", "surrogatepass")
+                    salt = int(mix(np.array([doc ^ tie], np.int64).view(U))[0])
+                    for w in wanted:
+                        bytes_ = raw[w["start"] : w["start"] + w["n"] - 1 + length]
+                        out.append((w["kind"], w["anchor"], salt % (w["buckets"] or 1), w["buckets"], doc, w["start"] + (tie << 31), w["n"], w["fdoc"], w["fat"], bytes_))
+                        held += len(bytes_)
+                    if held > 4_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), CUT, strict=True)], schema=CUT)
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), CUT, strict=True)], schema=CUT)
+
+        cut_out = "kind int, anchor long, bucket long, buckets long, doc long, at long, n long, fdoc long, fat long, context binary"
+        return materialize(one.join(ours, ["__doc", "__tie"]).select("__doc", "__tie", "text", "wanted").mapInArrow(cut, cut_out), label)
+
+    none = F.lit(None).cast("long")
+    runs_wanted = lambda runs: sorted_runs(runs).select(F.lit(0).alias("kind"), "doc", "at", "n", "anchor", "buckets", none.alias("fdoc"), none.alias("fat"))
+    copies_wanted = pairs.select(F.lit(1).alias("kind"), "doc", "at", "n", none.alias("anchor"), none.alias("buckets"), "fdoc", "fat")
+    firsts_wanted = pairs.select(F.lit(2).alias("kind"), F.col("fdoc").alias("doc"), F.col("fat").alias("at"), "n", none.alias("anchor"), none.alias("buckets"), none.alias("fdoc"), none.alias("fat")).distinct()
+    firsts = first.select("anchor", "f.*")
+    stretches = texts(runs_wanted(firsts).unionByName(copies_wanted).unionByName(firsts_wanted), "stretches")
+    original = stretches.filter("kind = 2").select(F.col("doc").alias("fdoc"), F.col("at").alias("fat"), "n", F.col("context").alias("original"))
+    compared = stretches.filter("kind = 1").join(original, ["fdoc", "fat", "n"]).select("doc", "at", "n", (F.col("context") == F.col("original")).alias("same"))
+    compared = materialize(compared, "compared")
+    contexts = stretches.filter("kind = 0")
+    unequal = compared.filter("not same").select(F.col("doc").alias("udoc"), F.col("at").alias("uat"), F.col("n").alias("un"))
+    if not unequal.isEmpty():  # hashes met by chance: these runs are sorted with the first ones
+        again = several.join(unequal, (F.col("doc") == F.col("udoc")) & (F.col("at") >= F.col("uat")) & (F.col("at") < F.col("uat") + F.col("un"))).select("anchor", "doc", "at", "n", "places")
+        contexts = texts(runs_wanted(firsts.union(again)), "contexts")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a bucket of an anchor come together; many buckets are sorted at once."""
@@ -271,22 +337,28 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         if held:
             yield from flush()
 
-    dealt = contexts.repartition("anchor", "bucket").sortWithinPartitions("anchor", "bucket", "doc", "at")
+    # 2. Different contexts around one anchor.
+    dealt = contexts.select("anchor", "bucket", "buckets", "doc", "at", "context").repartition("anchor", "bucket").sortWithinPartitions("anchor", "bucket", "doc", "at")
     sorted_ = materialize(dealt.mapInArrow(sort, OUT), "sorted")
+    covered = compared.filter("same").select("doc", "at", "n").union(sorted_.filter("k1 is null").select("doc", "at", "n"))
     hot = sorted_.filter("k1 is not null")
-    least = hot.groupBy("k1", "k2").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("c")).filter("c > 1")
-    late = hot.join(least, ["k1", "k2"]).filter("doc <> f.doc or at <> f.at").select("doc", "at", "n")
-    covered = copies.union(sorted_.filter("k1 is null").select("doc", "at", "n")).union(late)
+    several_buckets = hot.groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2")
+    met = materialize(hot.join(several_buckets, ["k1", "k2"]).select("doc", "at"), "met")
+    if not met.isEmpty():  # first windows of buckets: their own bytes are what they meet by
+        alone = met.select(F.lit(3).alias("kind"), "doc", "at", F.lit(1).cast("long").alias("n"), *(none.alias(c) for c in ("anchor", "buckets", "fdoc", "fat")))
+        windows = texts(alone, "windows").select("doc", "at", "n", "context")
+        least = windows.groupBy("context").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("c")).filter("c > 1")
+        covered = covered.union(windows.join(least, "context").filter("doc <> f.doc or at <> f.at").select("doc", "at", "n"))
     spans = covered.select(
-        F.col("doc").alias("__doc"), F.shiftrightunsigned("at", 31).alias("__tie"), F.struct(F.col("at").bitwiseAND(split).alias("start"), (F.col("n") + length - 1).cast("long").alias("n")).alias("s")
-    ).groupBy("__doc", "__tie").agg(F.collect_list("s").alias("spans"))  # bounded by the document's length
+        F.col("doc").alias("__doc"), upper("at").alias("__tie"), F.struct(F.col("at").bitwiseAND(split).alias("start"), (F.col("n") + length - 1).cast("long").alias("n")).alias("s")
+    ).groupBy("__doc", "__tie").agg(F.collect_list("s").alias("__spans"))  # bounded by the document's length
     spans = materialize(spans, "spans")
-    release(several, first, contexts, sorted_)
-    return whole.join(spans, ["__doc", "__tie"], "left").select(*keep, "__id", "__text", "spans")
+    release(several, first, pairs, stretches, compared, sorted_, met)
+    return whole.join(spans, ["__doc", "__tie"], "left").select(*keep, "__id", "__text", "__spans")
 
 
-CUT = ["anchor", "bucket", "buckets", "doc", "at", "context"]
-CUT_ARROW = pa.schema([(c, pa.int64()) for c in CUT[:-1]] + [("context", pa.binary())])
+KINDS = {"kind": pa.int32(), **dict.fromkeys(("anchor", "bucket", "buckets", "doc", "at", "n", "fdoc", "fat"), pa.int64()), "context": pa.binary()}
+CUT = pa.schema(KINDS)
 OUT = "doc long, at long, n long, k1 long, k2 long"
 
 
@@ -304,8 +376,8 @@ def mask(n: int, spans: Sequence[dict] | None) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def removals(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) for every document; see repeated_spans."""
+def removals(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) for every document; see repeated_spans, also for settings."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,7 +394,7 @@ def removals(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_co
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3]), pa.array(columns[4], pa.binary())], names=KEPT)
 
-    return repeated_spans(docs, length, id_col, text_col).mapInArrow(judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return repeated_spans(docs, length, id_col, text_col, **settings).mapInArrow(judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
@@ -335,7 +407,7 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, spans in zip(b.column("__text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column("__text").to_pylist(), b.column("__spans").to_pylist(), strict=True):
                 if text and spans:
                     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                     first = np.flatnonzero((raw & 0xC0) != 0x80)
