@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,16 +34,25 @@ def safe_ln(x: Column) -> Column:
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), name: str = "rho") -> DataFrame:
     """Rank correlation over complete pairs; tied values have their mean rank. One row per group.
 
-    Ranks come from counts of the distinct values, so rows are aggregated before anything is ordered.
+    Ranks come from running counts of the distinct values over range partitions: rows are aggregated before anything is ordered, and
+    no group is one task.
     """
+    from ..operators.scans import prefix_sums
+
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("__a"), F.col(b).alias("__b"))
 
     def ranks(c: str) -> DataFrame:
         counts = both.groupBy(*keys, c).agg(F.count("*").alias("__n"))
-        w = Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(*keys, c, (F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).alias(f"{c}_rank"))
+        placed = prefix_sums(counts, keys, [c], n=F.col("__n"))
+        return placed.select(*(F.col(k).alias(f"{c}_{k}") for k in keys), F.col(c).alias(f"{c}_v"), (F.col("before_n") + (F.col("__n") + 1) / 2).alias(f"{c}_rank"))
+
+    def joined(rows: DataFrame, c: str) -> DataFrame:
+        on = F.col(c) == F.col(f"{c}_v")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"{c}_{k}"))
+        return rows.join(ranks(c), on).drop(f"{c}_v", *(f"{c}_{k}" for k in keys))
 
-    ranked = both.groupBy(*keys, "__a", "__b").agg(F.count("*").alias("__w")).join(ranks("__a"), [*keys, "__a"]).join(ranks("__b"), [*keys, "__b"])
+    ranked = joined(joined(both.groupBy(*keys, "__a", "__b").agg(F.count("*").alias("__w")), "__a"), "__b")
     x, y, w = F.col("__a_rank"), F.col("__b_rank"), F.col("__w")
     sums = ranked.groupBy(*keys).agg(F.sum(w).alias("n"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
     return sums.select(*keys, F.expr("try_divide(n * xy - x * y, sqrt((n * xx - x * x) * (n * yy - y * y)))").alias(name))
@@ -83,25 +92,28 @@ def top_shares(df: DataFrame, key: str, value: str, first: int = 30, last: int =
 
     Groups of ``least`` non-missing values or fewer have NULL shares. float32 compares positions in single
     precision, as a storage type of 32 bits does: for some q the row exactly on the border then falls below it.
-    Each distinct value is one row with its range of positions; a q meets only the row its border falls into.
+    Each distinct value is one row with its range of positions (running sums over range partitions); it looks only at the few q
+    whose borders can fall into that range.
     """
+    from ..operators.scans import prefix_sums
+
     rows = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__c"))
-    below = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(key)
-    sums = (
-        rows.withColumn("__s", F.col(value) * F.col("__c"))
-        .withColumn("__pos", F.coalesce(F.sum("__c").over(below), F.lit(0))).withColumn("__less", F.coalesce(F.sum("__s").over(below), F.lit(0.0)))
-        .withColumn("__n", F.sum("__c").over(whole)).withColumn("__all", F.sum("__s").over(whole))
-    )
-    table = F.array(*(F.struct(F.lit(q).alias("q"), F.lit(at).alias("at")) for q, at in borders(first, last, step, float32)))
-
-    def start(b: Column) -> Column:
-        low = F.ceil(b["at"] * F.col("__n")) - 1
-        return F.when((low > 0) & (low / F.col("__n") >= b["at"]), low).when((low + 1) / F.col("__n") >= b["at"], low + 1).otherwise(low + 2)
-
-    met = sums.withColumn("__b", F.explode(F.filter(table, lambda b: start(b).between(F.col("__pos") + 1, F.col("__pos") + F.col("__c")))))
-    top = F.col("__all") - F.col("__less") - F.col(value) * (start(F.col("__b")) - F.col("__pos") - 1)
-    return met.select(key, F.col("__b.q").alias("q"), F.when(F.col("__n") > least, F.try_divide(top, F.col("__all"))).alias("share"))
+    sums = prefix_sums(rows, [key], [value], n=F.col("__c"), s=F.col(value) * F.col("__c"))
+    n, pos = F.col("total_n"), F.col("before_n")
+    table = F.array(*(F.lit(at) for _, at in borders(first, last, step, float32)))
+
+    def start(at: Column) -> Column:
+        """The first position whose share of all is at least ``at``."""
+        low = F.ceil(at * n) - 1
+        return F.when((low > 0) & (low / n >= at), low).when((low + 1) / n >= at, low + 1).otherwise(low + 2)
+
+    # Borders lie within a position of q n / 100, so only indexes from one below to one above the row's own range can meet it.
+    index = lambda p: (p * 100.0 / n - first) / step
+    low, high = F.greatest(F.floor(index(pos - 1)) - 1, F.lit(0)), F.least(F.ceil(index(pos + F.col("__c") + 1)) + 1, F.lit((last - first) // step))
+    near = sums.withColumn("__low", low).withColumn("__high", high).filter("__low <= __high").withColumn("__i", F.explode(F.sequence("__low", "__high")))
+    met = near.withColumn("__start", start(F.get(table, F.col("__i").cast("int")))).filter(F.col("__start").between(pos + 1, pos + F.col("__c")))
+    top = F.col("total_s") - F.col("before_s") - F.col(value) * (F.col("__start") - pos - 1)
+    return met.select(key, (F.col("__i") * step + first).cast("int").alias("q"), F.when(n > least, F.try_divide(top, F.col("total_s"))).alias("share"))
 
 
 def precision_recall(pairs: DataFrame, gold: str, predicted: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import along, centroid, line_centroid
 from .match import best_matches, last_of
+from .scans import forward_fill
 
 
 def street_addresses(streets: DataFrame, legacy_pad: bool = False) -> DataFrame:
@@ -23,9 +24,7 @@ def street_addresses(streets: DataFrame, legacy_pad: bool = False) -> DataFrame:
     numbers = ["num_1", "num_2", "num_3", "num_4"]
     known = streets.withColumns({c: F.nullif(F.col(c), F.lit(".")) for c in numbers})
     if legacy_pad:
-        from .lines import forward_fill
-
-        known = forward_fill(known.withColumn("__block", F.floor(F.col("row_idx") / 10_000)), numbers, ["__block"], ["row_idx"]).drop("__block")
+        known = forward_fill(known, numbers, ["row_idx"])
     pairs = F.array(*(F.struct(F.lit(k).alias("pair"), F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b")) for k, (a, b) in enumerate((("num_1", "num_2"), ("num_3", "num_4")))))
     rows = known.filter(F.col("line").isNotNull()).select("row_idx", "name", "line", F.explode(pairs).alias("p")).filter("p.a is not null and p.b is not null").select("row_idx", "name", "line", "p.*")
 

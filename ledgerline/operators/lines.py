@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import min_x, points, rotated_sides
 from ..functions.text import leading_number, without
 from .match import best_matches
+from .scans import forward_fill, medians
 
 ENTRY, INDENTED, NUMBERED, STREET = "ENTRY", "INDENTED_ENTRY", "ENTRY_WITH_STREETNUMBER", "STREETNAME"
 COLUMN = ["page_idx", "col_idx"]
@@ -71,7 +72,8 @@ def tag_indented(lines: DataFrame, inflate_std: float = 1, ignore_nonstd_lines:
     ignore_nonstd_lines leaves numbered entries and headings out of the measure and untouched.
     """
     counted = ~F.col("linetype").isin(NUMBERED, STREET) if ignore_nonstd_lines else F.lit(True)
-    limits = lines.filter(counted).groupBy(*COLUMN).agg((F.median("minx") + inflate_std * F.stddev_pop("minx")).alias("__limit"))
+    spread = lines.filter(counted).groupBy(*COLUMN).agg(F.stddev_pop("minx").alias("__spread"))
+    limits = spread.join(medians(lines.filter(counted), COLUMN, "minx", "__median"), COLUMN).select(*COLUMN, (F.col("__median") + inflate_std * F.col("__spread")).alias("__limit"))
     right = counted & F.col("linetype").isin(ENTRY, NUMBERED) & (F.col("minx") > F.col("__limit"))
     return lines.join(limits, COLUMN, "left").withColumn("linetype", F.when(right, INDENTED).otherwise(F.col("linetype"))).drop("__limit")
 
@@ -109,21 +111,6 @@ def lost_indents(lines: DataFrame) -> DataFrame:
     return full.join(head, COLUMN).groupBy(*COLUMN).agg(F.count_if(F.col("__first").isNull() | (F.col("line_idx") < F.col("__first"))).alias("lost"))
 
 
-def forward_fill(df: DataFrame, values: Sequence[str], blocks: Sequence[str], order: Sequence[str], default: object = None) -> DataFrame:
-    """Each value that is NULL takes the last one before it in the order of blocks, then of ``order`` within a block.
-
-    No single task sees all rows: the last values of each block (one row each) are carried on over the blocks, and rows
-    are filled within theirs, starting from what the blocks before left.
-    """
-    last = df.groupBy(*blocks).agg(*(F.max_by(v, F.struct(*(F.when(F.col(v).isNotNull(), F.col(c)) for c in order))).alias(f"__{v}") for v in values))
-    over = Window.orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    carried = last.select(*blocks, *(F.last(f"__{v}", True).over(over).alias(f"__{v}") for v in values))
-    within = Window.partitionBy(*blocks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = df.join(carried, list(blocks))
-    fall = [] if default is None else [F.lit(default)]
-    return filled.withColumns({v: F.coalesce(F.last(v, True).over(within), F.col(f"__{v}"), *fall) for v in values}).select(*df.columns)
-
-
 def distribute_addresses(lines: DataFrame) -> DataFrame:
     """Street and number of the last line that had them, over columns and pages; '' before the first.
 
@@ -134,7 +121,7 @@ def distribute_addresses(lines: DataFrame) -> DataFrame:
         "__street": F.when((F.col("linetype") == STREET) & (F.coalesce("street", F.lit("")) != ""), F.col("street")),
         "__number": F.when((F.col("linetype") == NUMBERED) & (F.coalesce("number", F.lit("")) != ""), F.col("number")),
     })
-    filled = forward_fill(own, ["__street", "__number"], COLUMN, ["line_idx"], "")
+    filled = forward_fill(own, ["__street", "__number"], ORDER, "")
     heading = F.col("linetype") == STREET
     return filled.withColumns({"street": F.when(heading, F.coalesce("street", "__street")).otherwise(F.col("__street")), "number": F.when(heading, F.col("number")).otherwise(F.col("__number"))}).drop("__street", "__number")
 

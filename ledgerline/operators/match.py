@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity
+from ..sources.staging import staged
+from .scans import positions
 
 
 def distinct_keys(df: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
@@ -44,34 +46,69 @@ def via_distinct(df: DataFrame, key: str, resolve: Callable[[DataFrame], DataFra
     return df.join(resolve(df.filter(F.col(key).isNotNull()).select(key).distinct()), key, "left")
 
 
-def letters(text: Column) -> Column:
-    """How often each of a few classes of characters occurs, and all others."""
-    classes = ["[eE]", "[aA]", "[iI]", "[nN]", "[rR]", "[sSſ]", "[tT]", "[lL]"]
-    counts = [F.length(text) - F.length(F.regexp_replace(text, c, "")) for c in classes]
-    rest = F.length(F.regexp_replace(text, "[eEaAiInNrRsSſtTlL]", ""))
-    return F.array(*counts, rest)
+def tokens(text: Column) -> Column:
+    """A text's characters, each with how often it came before: a set whose overlap with another text's is the number of characters they share."""
+    chars = F.array_sort(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    return F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c) + 1).cast("string")))
 
 
-def best_matches(df: DataFrame, key: str, table: DataFrame, name: str, cutoff: float) -> DataFrame:
+def indexed(texts: DataFrame, name: str, counts: DataFrame) -> DataFrame:
+    """(name, size, known): every text with its tokens that occur among the keys, the rarest first."""
+    each = texts.select(name, F.length(name).alias("size"), F.explode_outer(tokens(F.col(name))).alias("token"))
+    return each.join(counts, "token", "left").groupBy(name, "size").agg(F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "token")))).alias("known"))
+
+
+def candidate_pairs(queries: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
+    """(query, match): pairs of indexed texts among which all with a ratio >= cutoff are.
+
+    Texts of a and b characters with ratio >= c share at least c (a + b) / 2 characters; as b is at least a c / (2 - c), that is c a / (2 - c) of the a or more.
+    So among the a - that + 1 rarest tokens of either text there is one that both have: an equi-join on these, each pair
+    taken at the first token it shares. Lengths and the exact number of shared tokens then filter.
+    """
+    c = F.lit(float(cutoff))
+
+    def rarest(texts: DataFrame, name: str, q: str) -> DataFrame:
+        # Tokens that no key has come first of all; they join nothing.
+        room = F.col("size") - F.ceil(F.col("size") * c / (2 - c) - 1e-9) + 1 - (F.col("size") - F.size("known"))
+        prefix = F.slice("known", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
+        return texts.select(name, F.col("size").alias(f"__size_{q}"), F.col("known").alias(f"__known_{q}"), prefix.alias(f"__prefix_{q}")).withColumn("__token", F.explode(f"__prefix_{q}"))
+
+    both = rarest(queries, "query", "q").join(rarest(names, "match", "m"), "__token")
+    a, b = F.col("__size_q"), F.col("__size_m")
+    near = both.filter((2 * F.least(a, b) >= (a + b) * c - 1e-9) & (F.array_intersect("__prefix_q", "__prefix_m")[0] == F.col("__token")))
+    return near.filter(2 * F.size(F.array_intersect("__known_q", "__known_m")) >= (a + b) * c - 1e-9).select("query", "match")
+
+
+#: Texts shorter than this have a ratio of 1 with themselves and nothing else; in longer ones the ratio leaves frequent characters out.
+POPULAR = 200
+
+
+def best_matches(df: DataFrame, key: str, table: DataFrame, name: str, cutoff: float, steps: Sequence[float] = (0.7, 0.35, 0)) -> DataFrame:
     """(query, match, score) for every distinct non-null key: the most similar name with score >= cutoff.
 
     The score is the matching-block ratio 2 M / (length + length); of equal scores the largest string wins, and keys
-    without a match have no row. Only pairs whose upper bounds reach the cutoff are compared: lengths must be close
-    (an equi-join on length and then a bound on shared characters by class), which loses no match. cutoff: 0.05 to 1.
+    without a match have no row. cutoff: 0.05 to 1.
+
+    Nothing is lost, and few pairs are compared: a key that is a name itself is done. The others go through falling thresholds, from near 1
+    (steps: parts of the way from the cutoff to 1) down to the cutoff; a best score that reaches the threshold is the best of all, since all pairs that reach it
+    were compared (see candidate_pairs), and its key takes no part in the next, wider step.
     """
     if not 0.05 <= cutoff <= 1:
         raise ValueError(f"cutoff {cutoff} is not between 0.05 and 1")
     queries = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("query")).distinct()
-    names = table.filter(F.col(name).isNotNull()).select(F.col(name).alias("match")).distinct().withColumn("__n", F.length("match")).withColumn("__m", letters(F.col("match")))
-    c = F.lit(float(cutoff))
-    # 2 min / (a + b) >= c bounds the lengths that can match a query: from l c / (2 - c) to l (2 - c) / c.
-    low, high = F.floor(F.col("__l") * c / (2 - c)), F.ceil(F.col("__l") * (2 - c) / c)
-    spread = queries.withColumn("__l", F.length("query")).withColumn("__k", letters(F.col("query"))).withColumn("__n", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
-    shared = F.aggregate(F.zip_with("__k", "__m", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
-    bound = F.when(F.col("__l") + F.col("__n") == 0, 1.0).otherwise(2.0 * shared / (F.col("__l") + F.col("__n")))
-    pairs = spread.join(names, "__n").filter(bound >= c - 1e-9)
-    scored = pairs.select("query", "match", similarity("match", "query").alias("score")).filter(F.col("score") >= c)
-    return scored.groupBy("query").agg(F.max(F.struct("score", "match")).alias("b")).select("query", "b.match", "b.score")
+    names = table.filter(F.col(name).isNotNull()).select(F.col(name).alias("match")).distinct()
+    same = queries.filter(F.length("query") < POPULAR).join(names, F.col("query") == F.col("match")).select("query", "match", F.lit(1.0).alias("score"))
+    found, left = staged(same), queries
+    counts = staged(names.select(F.explode(tokens(F.col("match"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+    keys = staged(indexed(names, "match", counts))
+    left = staged(indexed(left.join(found, "query", "left_anti"), "query", counts))
+    results = found
+    for level in dict.fromkeys(cutoff + s * (1 - cutoff) for s in steps):
+        scored = candidate_pairs(left, keys, level).select("query", "match", similarity("match", "query").alias("score")).filter(F.col("score") >= F.lit(float(level)))
+        found = staged(scored.groupBy("query").agg(F.max(F.struct("score", "match")).alias("b")).select("query", "b.match", "b.score"))
+        results = results.union(found)
+        left = left.join(found, "query", "left_anti")
+    return results
 
 
 def match_codes(df: DataFrame, key: str, table: DataFrame, name: str, values: Sequence[str], order: str, cutoff: float = 1.0) -> DataFrame:
@@ -126,5 +163,5 @@ def within_first(points: DataFrame, zones: DataFrame, x: str, y: str, zone: str
 
 
 def row_numbers(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] = (), name: str = "n") -> DataFrame:
-    """1, 2, ... in the order, within groups of keys."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """1, 2, ... in the order, within groups of keys, and total_<name>, the group's rows."""
+    return positions(df, keys, order, name)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import lines, match, pareto, reshape, status
+from ..operators import lines, match, pareto, reshape, scans, status
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,7 +129,7 @@ def filled_years(t):
 @query("""select event_id, coalesce(last_value(case when event_type = 'error' then value end ignore nulls) over (order by ts::date, ts, event_id rows unbounded preceding), -1) as value from events""")
 def forward_fill(t):
     rows = t("events").select("event_id", "ts", F.to_date("ts").alias("day"), F.when(F.col("event_type") == "error", F.col("value")).alias("value"))
-    return lines.forward_fill(rows, ["value"], ["day"], ["ts", "event_id"], -1.0).select("event_id", "value")
+    return lines.forward_fill(rows, ["value"], ["day", "ts", "event_id"], -1.0).select("event_id", "value")
 
 
 @query("""with g as (select *, sum((event_type = 'signup')::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as grp from events)
@@ -295,12 +295,7 @@ def sanitize_text(t):
     select user_id, run::int as run, min(event_type) as label, count(*) as n from b group by user_id, run qualify run < max(run) over (partition by user_id)""")
 def label_runs(t):
     """Runs of one type of event of a user; the last run, which nothing ends, is not there."""
-    from ..operators.labels import runs
-
-    ordered = t("events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("w"))
-    types = F.transform("w", lambda x: x["event_type"])
-    found = ordered.select("user_id", F.posexplode(runs(F.transform(types, lambda x: F.lit("x")), types)).alias("run", "r"))
-    return found.select("user_id", (F.col("run") + 1).cast("int").alias("run"), "r.label", F.size(F.split("r.value", " ")).cast("long").alias("n"))
+    return scans.runs(t("events"), ["user_id"], ["ts", "event_id"], "event_type")
 
 
 @query("""select user_id, arg_min(event_type, (-n, event_type)) as event_type from (select user_id, event_type, count(*) as n from events group by 1, 2) group by 1""")
@@ -371,7 +366,7 @@ def first_last_rows(t):
 @query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) / count(*) over (partition by l_orderkey) as position from lineitem""")
 def row_positions(t):
     rows = match.row_numbers(t("lineitem"), ["l_linenumber", "l_partkey", "l_suppkey"], ["l_orderkey"])
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "n", (F.col("n") / F.count("*").over(Window.partitionBy("l_orderkey"))).alias("position"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "n", (F.col("n") / F.col("total_n")).alias("position"))
 
 
 @query("""select user_id, coalesce(sum(value) filter (event_type = 'error'), 0) as in_errors, sum(value) as total, max(value) as largest, round(stddev_pop(value), 6) as spread from events group by 1""")
@@ -379,7 +374,17 @@ def conditional_totals(t):
     return t("events").groupBy("user_id").agg(F.coalesce(F.sum(F.when(F.col("event_type") == "error", F.col("value"))), F.lit(0.0)).alias("in_errors"), F.sum("value").alias("total"), F.max("value").alias("largest"), F.round(F.stddev_pop("value"), 6).alias("spread"))
 
 
-@query()
+# The longest common block (the first in the name, then in the question), then the same left and right of it, until nothing is common.
+@query("""with recursive names as (select distinct p_name as match from part), asked as (select distinct substr(p_name, 1, 3) || 'x' || substr(p_name, 5, 99) as query from part),
+    places as (select query, match, unnest(range(0, length(match))) as i, length(query) as m from asked, names), pairs as (select *, unnest(range(0, m)) as j from places),
+    common as materialized (select query, match, i, j, k from (select *, unnest(range(1, least(length(match) - i, m - j) + 1)) as k from pairs where substr(match, i + 1, 1) = substr(query, j + 1, 1))
+        where substr(match, i + 1, k) = substr(query, j + 1, k)),
+    parts as (select query, match, 0::bigint as a, length(match)::bigint as b, 0::bigint as c, length(query)::bigint as d, 0::bigint as size from asked, names union all
+        select query, match, unnest([a, 99 - code // 100 % 100 + code // 10000]), unnest([99 - code // 100 % 100, b]), unnest([c, 99 - code % 100 + code // 10000]), unnest([99 - code % 100, d]), unnest([code // 10000, 0])
+        from (select p.query, p.match, a, b, c, d, max(k * 10000 + (99 - i) * 100 + 99 - j) as code from parts p join common o on o.query = p.query and o.match = p.match and i >= a and i + k <= b and j >= c and j + k <= d
+            group by all)),
+    scored as (select query, match, 2.0 * sum(size) / (length(query) + length(match)) as score from parts group by query, match)
+    select query, arg_max(match, (score, match)) as match, round(max(score)::double, 6) as score from scored where score >= 0.5 group by query""")
 def fuzzy_match(t):
     """The most similar part name of every name with a letter changed."""
     names = t("part").select("p_name").distinct()

@@ -103,6 +103,48 @@ def test_blocking_loses_no_match(spark):
         assert got == {a: m[0] for a in asked if (m := difflib.get_close_matches(a, names, 1, cutoff))}
 
 
+def test_few_pairs_are_compared(spark, monkeypatch):
+    """Misread street names find the same matches as by comparing all; of the pairs that lengths and letters leave, at most 5 % are compared."""
+    import difflib
+    import random
+    from collections import Counter
+
+    r = random.Random(2)
+    stems = ["".join(r.choice(["al", "ber", "cha", "dor", "fried", "gra", "hein", "jo", "kant", "lin", "mar", "nol", "ot", "pots", "rei", "schil", "tau", "ur", "wil", "zim"]) for _ in range(r.randint(2, 3))) for _ in range(500)]
+    streets = sorted({s.capitalize() + r.choice(["straße", "ſtraße", "platz", "allee", " Ufer", "gaſſe", "damm"]) for s in stems})
+    misread = lambda s: "".join(r.choice("aeiou.") if r.random() < 0.06 else c for c in s)
+    asked = sorted({misread(s) for s in streets[::2]} | {"??", "x" * 300, streets[0]})
+    compared = []
+    pairs = match.candidate_pairs
+
+    def counted(*args):
+        out = pairs(*args)
+        compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(match, "candidate_pairs", counted)
+    got = match.best_matches(spark.createDataFrame([(a,) for a in asked], "q string"), "q", spark.createDataFrame([(s,) for s in streets], "n string"), "n", 0.5)
+    assert {x.query: x.match for x in got.collect()} == {a: m[0] for a in asked if (m := difflib.get_close_matches(a, streets, 1, 0.5))}
+
+    def letters(text):
+        return Counter({"s": "s", "ſ": "s"}.get(c.lower(), c.lower()) if c.lower() in "eainrsſtl" else "" for c in text)
+
+    known = [(s, letters(s)) for s in streets]
+    before = sum(2 * sum((x & k).values()) >= 0.5 * (len(a) + len(s)) for a in asked for x in [letters(a)] for s, k in known)
+    assert sum(compared) <= before / 20
+
+
+def test_matches_of_odd_texts(spark):
+    names = spark.createDataFrame([("",), ("a",), ("😀b",), ("ab" * 150,), ("\n",)], "n string")
+    asked = spark.createDataFrame([("",), ("😀c",), ("ab" * 150,), ("ab" * 149 + "x",), ("\n",), (None,)], "q string")
+    got = {x.query: (x.match, round(x.score, 3)) for x in match.best_matches(asked, "q", names, "n", 0.4).collect()}
+    import difflib
+
+    want = {a.q: m[0] for a in asked.collect() if a.q is not None and (m := difflib.get_close_matches(a.q, [x.n for x in names.collect()], 1, 0.4))}
+    assert {k: v[0] for k, v in got.items()} == want and got[""] == ("", 1.0)
+    assert match.best_matches(asked.limit(0), "q", names, "n", 0.4).collect() == [] == match.best_matches(asked, "q", names.limit(0), "n", 0.4).collect()
+
+
 def test_lookups(spark):
     df, dim = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string")
     assert {(r.k, r.v) for r in match.lookup(df, dim, "k").collect()} == {(1, "a"), (2, None)}
