@@ -1,23 +1,20 @@
-"""Planar geometry: expressions where arrays do, numpy in Arrow batches elsewhere. No projection library is needed or used."""
+"""Planar geometry as column expressions over arrays of points (x, y)."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from .text import col
 
-Points = Sequence[tuple[float, float]]
+XY = "struct<x:double, y:double>"
 
 
-def pair_of(a: str, b: str) -> StructType:
-    return StructType([StructField(a, DoubleType()), StructField(b, DoubleType())])
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
 
 
 def points(coords: Column | str) -> Column:
@@ -30,93 +27,122 @@ def min_x(pts: Column | str) -> Column:
     return F.array_min(F.transform(col(pts), lambda p: p["x"])).cast("double")
 
 
-def hull(pts: np.ndarray) -> np.ndarray:
-    """Convex hull, counter-clockwise, without collinear points."""
-    p = sorted(set(map(tuple, pts.tolist())))
-    if len(p) < 3:
-        return np.array(p, float)
-
-    def chain(points_: Points) -> list:
-        out: list = []
-        for c in points_:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (c[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (c[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(c)
-        return out[:-1]
-
-    return np.array(chain(p) + chain(p[::-1]), float)
-
-
-def rectangle_sides(pts: Points) -> tuple[float, float]:
-    """Width and length of the smallest rectangle around the points; one of its sides lies on a side of their hull."""
-    h = hull(np.asarray(pts, float).reshape(-1, 2))
-    if len(h) < 2:
-        return 0.0, 0.0
-    edges = np.roll(h, -1, axis=0) - h
-    edges = edges / np.linalg.norm(edges, axis=1, keepdims=True)
-    along, across = h @ edges.T, h @ np.stack([-edges[:, 1], edges[:, 0]])
-    a, b = np.ptp(along, axis=0), np.ptp(across, axis=0)
-    k = int(np.argmin(a * b))
-    return float(min(a[k], b[k])), float(max(a[k], b[k]))
-
-
-@F.pandas_udf(pair_of("width", "length"))
-def rotated_sides(coords: pd.Series) -> pd.DataFrame:
-    """(width, length) of the minimum rotated rectangle of ``'x,y x,y'`` strings."""
-    sides = [rectangle_sides([tuple(map(int, p.split(","))) for p in c.split(" ")]) if c else (None, None) for c in coords]
-    return pd.DataFrame(sides, columns=["width", "length"])
-
-
-def along(line: Points, fraction: float) -> tuple[float, float]:
-    """The point at a fraction of the line's length."""
-    p = np.asarray(line, float)
-    step = np.linalg.norm(np.diff(p, axis=0), axis=1)
-    target, total = fraction * step.sum(), np.cumsum(step)
-    k = min(int(np.searchsorted(total, target)), len(step) - 1) if len(step) else 0
-    if not len(step) or step[k] == 0:
-        return float(p[0][0]), float(p[0][1])
-    t = (target - (total[k] - step[k])) / step[k]
-    return tuple(map(float, p[k] + t * (p[k + 1] - p[k])))
-
-
-def line_centroid(line: Points) -> tuple[float, float]:
-    p = np.asarray(line, float)
-    step = np.linalg.norm(np.diff(p, axis=0), axis=1)
-    if step.sum() == 0:
-        return float(p[0][0]), float(p[0][1])
-    return tuple(map(float, ((p[1:] + p[:-1]) / 2 * step[:, None]).sum(axis=0) / step.sum()))
-
-
-def polygon_centroid(ring: Points) -> tuple[float, float]:
-    p = np.asarray(ring, float)
-    q = np.roll(p, -1, axis=0)
-    cross = p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]
-    if math.isclose(cross.sum(), 0, abs_tol=1e-300):
-        return line_centroid([*ring, ring[0]])
-    return tuple(map(float, ((p + q) * cross[:, None]).sum(axis=0) / (3 * cross.sum())))
-
-
-def inside(x: float, y: float, ring: Points) -> bool:
-    """Strictly inside a polygon; points on its boundary are not within it."""
-    p = np.asarray(ring, float)
-    q = np.roll(p, -1, axis=0)
-    cross = (q[:, 0] - p[:, 0]) * (y - p[:, 1]) - (q[:, 1] - p[:, 1]) * (x - p[:, 0])
-    between = (np.minimum(p[:, 0], q[:, 0]) <= x) & (x <= np.maximum(p[:, 0], q[:, 0])) & (np.minimum(p[:, 1], q[:, 1]) <= y) & (y <= np.maximum(p[:, 1], q[:, 1]))
-    if (between & (cross == 0)).any():
-        return False
-    span = (p[:, 1] > y) != (q[:, 1] > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = p[:, 0] + (y - p[:, 1]) * (q[:, 0] - p[:, 0]) / (q[:, 1] - p[:, 1])
-    return bool((span & (x < at)).sum() % 2)
-
-
-@F.pandas_udf(BooleanType())
-def within(x: pd.Series, y: pd.Series, ring: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None or pd.isna(a) or pd.isna(b) else inside(a, b, [(p["x"], p["y"]) for p in r]) for a, b, r in zip(x, y, ring, strict=True)])
-
-
-@F.pandas_udf(pair_of("x", "y"))
-def centroid(ring: pd.Series) -> pd.DataFrame:
-    """Centroid of a polygon's ring; of a single point the point."""
-    out = [None if r is None or not len(r) else polygon_centroid([(p["x"], p["y"]) for p in r]) if len(r) > 1 else (r[0]["x"], r[0]["y"]) for r in ring]
-    return pd.DataFrame([(None, None) if c is None else c for c in out], columns=["x", "y"])
+def xy(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def edges(ring: Column) -> Column:
+    """The sides of a ring as (ax, ay, bx, by), the last one back to the start."""
+    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    side = lambda a, b: F.struct(a["x"].cast("double").alias("ax"), a["y"].cast("double").alias("ay"), b["x"].cast("double").alias("bx"), b["y"].cast("double").alias("by"))
+    return F.zip_with(ring, following, side)
+
+
+def half_hull(ordered: Column) -> Column:
+    """Points of a sorted array that no later one makes turn the wrong way, without the last: half of a convex hull."""
+
+    def left_turn(a: Column, b: Column, c: Column) -> Column:
+        return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]) > 0
+
+    def step(kept: Column, c: Column) -> Column:
+        # Points go from the end until one is left, or the last two and the new one turn left.
+        stays = F.filter(F.sequence(F.lit(1), F.size(kept)), lambda k: (k == 1) | left_turn(F.get(kept, k - 2), F.get(kept, k - 1), c))
+        return F.concat(F.slice(kept, F.lit(1), F.array_max(stays)), F.array(c))
+
+    chain = F.aggregate(F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), F.slice(ordered, 1, 1), step)
+    return let(chain, lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))))
+
+
+def hull(pts: Column) -> Column:
+    """Convex hull, counter-clockwise, without collinear points; up to two distinct points are themselves."""
+    distinct = F.array_sort(F.array_distinct(F.transform(pts, lambda p: xy(p["x"], p["y"]))))
+    return let(distinct, lambda p: F.when(F.size(p) < 3, p).otherwise(F.concat(half_hull(p), half_hull(F.reverse(p)))))
+
+
+def rotated_sides(pts: Column | str) -> Column:
+    """(width, length) of the smallest rectangle around the points; one of its sides lies on a side of their hull. NULL for NULL, 0 for one point."""
+
+    def extent(h: Column, ux: Column, uy: Column) -> Column:
+        at = F.transform(h, lambda p: p["x"] * ux + p["y"] * uy)
+        return let(at, lambda a: F.array_max(a) - F.array_min(a))
+
+    def box(h: Column, e: Column, i: Column) -> Column:
+        unit = let(F.sqrt((e["bx"] - e["ax"]) * (e["bx"] - e["ax"]) + (e["by"] - e["ay"]) * (e["by"] - e["ay"])), lambda n: xy((e["bx"] - e["ax"]) / n, (e["by"] - e["ay"]) / n))
+        spans = let(unit, lambda u: F.struct(extent(h, u["x"], u["y"]).alias("a"), extent(h, -u["y"], u["x"]).alias("b")))
+        return let(spans, lambda s: F.struct((s["a"] * s["b"]).alias("area"), i.alias("i"), F.least(s["a"], s["b"]).alias("width"), F.greatest(s["a"], s["b"]).alias("length")))
+
+    def smallest(h: Column) -> Column:
+        least = F.array_min(F.transform(edges(h), lambda e, i: box(h, e, i)))
+        point = F.struct(F.lit(0.0).alias("width"), F.lit(0.0).alias("length"))
+        return F.when(F.size(h) < 2, point).otherwise(F.struct(least["width"].alias("width"), least["length"].alias("length")))
+
+    return F.when(col(pts).isNotNull(), let(hull(col(pts)), smallest))
+
+
+def line_steps(line: Column) -> Column:
+    """The pieces of a line as (ax, ay, bx, by, n, end): n their length, end the line's length up to their end."""
+    pieces = F.transform(F.slice(edges(line), F.lit(1), F.greatest(F.size(line) - 1, F.lit(0))), lambda e: e.withField("n", F.sqrt((e["bx"] - e["ax"]) * (e["bx"] - e["ax"]) + (e["by"] - e["ay"]) * (e["by"] - e["ay"]))))
+    kind = "array<struct<ax:double, ay:double, bx:double, by:double, n:double, end:double>>"
+    add = lambda done, e: F.concat(done, F.array(e.withField("end", F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0.0)) + e["n"])))
+    return F.aggregate(pieces, F.array().cast(kind), add)
+
+
+def along(line: Column, fraction: Column) -> Column:
+    """The point at a fraction of the line's length; the start of a line without length."""
+
+    def on(steps: Column) -> Column:
+        target = fraction * F.get(steps, F.size(steps) - 1)["end"]
+        piece = F.filter(steps, lambda e: e["end"] >= target)[0]
+        t = lambda e: (target - (e["end"] - e["n"])) / e["n"]
+        return let(piece, lambda e: F.when(e["n"] > 0, xy(e["ax"] + t(e) * (e["bx"] - e["ax"]), e["ay"] + t(e) * (e["by"] - e["ay"]))).otherwise(xy(e["ax"], e["ay"])))
+
+    return F.when(F.size(line) > 1, let(line_steps(line), on)).otherwise(xy(line[0]["x"], line[0]["y"]))
+
+
+def line_centroid(line: Column) -> Column:
+    """The mean of a line's points, by length; the start of a line without length."""
+
+    def mean(steps: Column) -> Column:
+        whole = total(F.transform(steps, lambda e: e["n"]))
+        middle = lambda a, b: total(F.transform(steps, lambda e: (e[a] + e[b]) / 2 * e["n"])) / whole
+        return F.when(whole > 0, xy(middle("ax", "bx"), middle("ay", "by"))).otherwise(xy(line[0]["x"], line[0]["y"]))
+
+    return let(line_steps(line), mean)
+
+
+def centroid(ring: Column | str) -> Column:
+    """Centroid of a polygon's ring; of a ring without area that of its outline, of a single point the point. NULL for none."""
+    ring = col(ring)
+    cross = lambda e: e["ax"] * e["by"] - e["bx"] * e["ay"]
+
+    def mean(sides: Column) -> Column:
+        twice = total(F.transform(sides, cross))
+        middle = lambda a, b: total(F.transform(sides, lambda e: (e[a] + e[b]) * cross(e))) / (3 * twice)
+        return F.when(F.abs(twice) > 1e-300, xy(middle("ax", "bx"), middle("ay", "by"))).otherwise(line_centroid(F.concat(ring, F.slice(ring, 1, 1))))
+
+    return F.when(F.size(ring) > 1, let(edges(ring), mean)).when(F.size(ring) == 1, xy(ring[0]["x"], ring[0]["y"]))
+
+
+def within_edges(x: Column, y: Column, sides: Column) -> Column:
+    """Strictly inside the polygon of these sides: on none of them, and an odd number of them right of the point. Sides that lie wholly left, above or below may be missing."""
+
+    def on_side(e: Column) -> Column:
+        cross = (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
+        between = x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
+        return between & (cross == 0)
+
+    def right(e: Column) -> Column:
+        crosses = (e["ay"] > y) != (e["by"] > y)
+        return F.when(crosses, x < e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])).otherwise(False)
+
+    return ~F.exists(sides, on_side) & (F.size(F.filter(sides, right)) % 2 == 1)
+
+
+def within(x: Column | str, y: Column | str, ring: Column | str) -> Column:
+    """Strictly inside a polygon; points on its boundary are not within it. NULL for missing values."""
+    x, y, ring = col(x), col(y), col(ring)
+    return F.when(x.isNotNull() & y.isNotNull() & ring.isNotNull(), within_edges(x, y, edges(ring)))

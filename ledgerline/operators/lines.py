@@ -25,7 +25,7 @@ def measured(lines: DataFrame) -> DataFrame:
     """Adds minx and bbox_height (the shorter side of the least rotated rectangle) from coords, once; untagged lines are entries."""
     empty = {c: F.lit(None).cast("string") for c in ("number", "street") if c not in lines.columns}
     kind = {} if "linetype" in lines.columns else {"linetype": F.lit(ENTRY)}
-    return lines.withColumns({"minx": min_x(points("coords")), "bbox_height": rotated_sides("coords")["width"], **empty, **kind})
+    return lines.withColumns({"minx": min_x(points("coords")), "bbox_height": rotated_sides(points("coords"))["width"], **empty, **kind})
 
 
 def tag_street_names(lines: DataFrame, streets: DataFrame | None = None, inflate_std: float = 3, cutoff: float = 0.5) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from ..functions.geometry import edges, within_edges
 from ..functions.text import similarity
 from ..sources.staging import staged
 from .scans import positions
@@ -139,29 +144,101 @@ def external_lookup(keys: DataFrame, key: str, client: Callable[[str], object],
     return keys.select(key).distinct().mapInPandas(run, f"{key} {kind}, {result}, success boolean")
 
 
-def within_first(points: DataFrame, zones: DataFrame, x: str, y: str, zone: str = "id", order: str = "zone_idx", cell: float | None = None) -> DataFrame:
+def within_first(points: DataFrame, zones: DataFrame, x: str, y: str, zone: str = "id", order: str = "zone_idx") -> DataFrame:
     """points with the id of the first zone (in ``order``) they lie strictly within; NULL outside and for missing coordinates.
 
-    zones: id, order, ring ARRAY<STRUCT<x, y>>. With ``cell``, both sides meet by the cells of a grid of that width, an equi-join;
-    without, by bounding boxes.
+    zones: id, order, ring ARRAY<STRUCT<x, y>>. Both sides meet by the cells of a quadtree, an equi-join (see zone_cells); most points are decided by the
+    cell, the others by the few sides of the ring that concern it.
     """
-    from ..functions.geometry import within
-
-    box = {k: f(F.transform("ring", lambda p: p[c])) for k, f, c in (("__x0", F.array_min, "x"), ("__x1", F.array_max, "x"), ("__y0", F.array_min, "y"), ("__y1", F.array_max, "y"))}
-    shapes = zones.select(F.col(zone).alias("__zone"), F.col(order).alias("__order"), "ring").withColumns(box)
-    spots = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("__x"), F.col(y).alias("__y")).distinct()
-    inside = (F.col("__x") >= F.col("__x0")) & (F.col("__x") <= F.col("__x1")) & (F.col("__y") >= F.col("__y0")) & (F.col("__y") <= F.col("__y1"))
-    if cell:
-        steps = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-        shapes = shapes.withColumn("__cx", F.explode(steps("__x0", "__x1"))).withColumn("__cy", F.explode(steps("__y0", "__y1")))
-        spots = spots.withColumn("__cx", F.floor(F.col("__x") / cell)).withColumn("__cy", F.floor(F.col("__y") / cell))
-        pairs = spots.join(shapes, ["__cx", "__cy"]).filter(inside)
-    else:
-        pairs = spots.join(shapes, inside)
-    hit = pairs.filter(within("__x", "__y", "ring")).groupBy("__x", "__y").agg(F.min_by("__zone", "__order").alias("__found"))
+    cells, frame = zone_cells(zones, zone, order)
+    spots = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).distinct()
+    levels = sorted(r["__level"] for r in cells.select("__level").distinct().collect())  # at most DEEPEST + 1
+    if not levels:
+        return points.withColumn("zone", F.lit(None).cast(zones.schema[zone].dataType))
+    x0, y0, side = frame
+    inside = F.col("__x").between(x0, x0 + side) & F.col("__y").between(y0, y0 + side)
+    at = spots.filter(inside).withColumn("__level", F.explode(F.array(*(F.lit(x).cast("long") for x in levels))))
+    at = at.withColumns({c: F.floor((F.col(v) - o) / side * F.pow(F.lit(2.0), F.col("__level"))).cast("long") for c, v, o in (("__i", "__x", x0), ("__j", "__y", y0))})
+    pairs = at.join(cells, ["__level", "__i", "__j"])
+    hit = pairs.filter(F.when(F.col("__whole"), True).otherwise(within_edges(F.col("__x"), F.col("__y"), F.col("__sides")))).groupBy("__x", "__y").agg(F.min_by("__zone", "__order").alias("__found"))
     return points.join(hit, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")), "left").withColumn("zone", F.col("__found")).drop("__x", "__y", "__found")
 
 
+#: Levels a zone's cells go down from about its own size: so many at least, and at most while over SIDES sides concern a cell.
+LEAST, MOST, SIDES, DEEPEST = 3, 8, 12, 40
+SIDE = ("ax", "ay", "bx", "by")
+
+
+def cover(sides: np.ndarray, frame: tuple[float, float, float]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Leaf cells of a quadtree over one ring: (level, i, j, whole, sides a cell, sides), level by level.
+
+    sides: rows ax, ay, bx, by. All cells of a level are looked at together, as pairs of a cell and a side that concerns it.
+    """
+    x0, y0, side = frame
+    low, high = np.minimum(sides[:2], sides[2:]).min(axis=1), np.maximum(sides[:2], sides[2:]).max(axis=1)
+    size = max((high - low).max(), side / 2**DEEPEST)
+    level = min(int(math.log2(side / size)), DEEPEST - MOST)
+    (i0, j0), (i1, j1) = (((v - (x0, y0)) / side * 2**level).astype(np.int64) for v in (low, high))
+    i, j = (g.ravel() for g in np.meshgrid(np.arange(i0, i1 + 1), np.arange(j0, j1 + 1)))
+    cell, at = np.repeat(np.arange(len(i)), sides.shape[1]), np.tile(np.arange(sides.shape[1]), len(i))
+    for depth in range(MOST + 1):
+        half = side / 2.0**level / 2
+        w = half * (1 + 1e-6)
+        cx, cy = x0 + (2 * i[cell] + 1) * half, y0 + (2 * j[cell] + 1) * half
+        ax, ay, bx, by = sides[:, at]
+        dx, dy = bx - ax, by - ay
+        concern = (np.maximum(ax, bx) >= cx - w) & (np.minimum(ay, by) <= cy + w) & (np.maximum(ay, by) >= cy - w)
+        meets = concern & (np.minimum(ax, bx) <= cx + w) & (np.abs(dx * (cy - ay) - dy * (cx - ax)) <= w * (np.abs(dx) + np.abs(dy)) * (1 + 1e-6))
+        crosses = (ay > cy) != (by > cy)
+        right = crosses & (cx < ax + (cy - ay) * dx / np.where(crosses, dy, 1))
+        border = np.bincount(cell[meets], minlength=len(i)) > 0
+        whole = ~border & (np.bincount(cell[right], minlength=len(i)) % 2 == 1)
+        yield np.full(whole.sum(), level), i[whole], j[whole], np.ones(whole.sum(), bool), np.zeros(whole.sum(), np.int64), np.empty(0, np.int64)
+        kept = concern & border[cell]
+        cell, at = cell[kept], at[kept]
+        count = np.bincount(cell, minlength=len(i))
+        split = border & ((depth < LEAST) | (count > SIDES)) & (depth < MOST)
+        done = border & ~split
+        yield np.full(done.sum(), level), i[done], j[done], np.zeros(done.sum(), bool), count[done], at[done[cell]]
+        if not split.any():
+            return
+        number = np.cumsum(split) - 1
+        at, cell = at[split[cell]], number[cell[split[cell]]]
+        i, j, level = i[split], j[split], level + 1
+        n = len(i)
+        i, j = (np.concatenate([2 * v + q for q in o]) for v, o in ((i, (0, 0, 1, 1)), (j, (0, 1, 0, 1))))
+        cell, at = np.concatenate([cell + q * n for q in range(4)]), np.tile(at, 4)
+
+
+def zone_cells(zones: DataFrame, zone: str, order: str) -> tuple[DataFrame, tuple[float, float, float]]:
+    """Leaf cells of a quadtree over each zone, and the frame (x, y, side) of the tree: (__zone, __order, __level, __i, __j, __whole, __sides).
+
+    A zone starts with the few cells of about its size that hold it, and each is split where the outline runs through it. A cell that the outline doesn't meet is
+    wholly in (__whole) or left out. The others keep those sides of the ring that can be met right of a point in
+    them, so that they decide as the whole ring would. Cells count as a little larger than they are, which covers rounding.
+    """
+    rings = zones.filter(F.size("ring") > 2).select(F.col(zone).alias("__zone"), F.col(order).alias("__order"), edges(F.col("ring")).alias("__sides"))
+    far = lambda f, g, a, b: f(F.transform("__sides", lambda e: g(e[a], e[b])))
+    m = rings.agg(F.min(far(F.array_min, F.least, "ax", "bx")), F.max(far(F.array_max, F.greatest, "ax", "bx")), F.min(far(F.array_min, F.least, "ay", "by")), F.max(far(F.array_max, F.greatest, "ay", "by"))).first()
+    if m[0] is None:
+        m = (0.0, 1.0, 0.0, 1.0)
+    frame = (m[0], m[2], max(m[1] - m[0], m[3] - m[2], 1e-300) * (1 + 1e-9))
+    schema = StructType([*rings.schema.fields[:2], *(StructField(c, LongType()) for c in ("__level", "__i", "__j")), StructField("__whole", BooleanType()), rings.schema["__sides"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(len(b)):
+                ring = b.column(2).slice(r, 1).flatten()
+                sides = np.stack([ring.field(c).to_numpy() for c in SIDE])
+                for level, i, j, whole, count, at in cover(sides, frame):
+                    if len(level):
+                        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.StructArray.from_arrays([pa.array(v) for v in sides[:, at]], SIDE))
+                        same = [b.column(k).take(pa.array(np.full(len(level), r))) for k in (0, 1)]
+                        yield pa.RecordBatch.from_arrays([*same, pa.array(level), pa.array(i), pa.array(j), pa.array(whole), lists], names=schema.names)
+
+    return staged(rings.mapInArrow(run, schema)), frame
+
+
 def row_numbers(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] = (), name: str = "n") -> DataFrame:
     """1, 2, ... in the order, within groups of keys, and total_<name>, the group's rows."""
     return positions(df, keys, order, name)

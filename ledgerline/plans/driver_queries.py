@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats, text
+from ..functions import projection, stats, text
 from ..operators import lines, match, pareto, reshape, scans, status
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,7 +339,52 @@ def point_in_box(t):
     e = t("embeddings")
     points = e.select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     zones = e.sparkSession.createDataFrame([(k, k, [(a, b), (c, b), (c, d), (a, d)]) for k, a, b, c, d in BOXES], "id int, zone_idx int, ring array<struct<x: double, y: double>>")
-    return match.within_first(points, zones, "x", "y", cell=0.15).select("vec_id", "zone")
+    return match.within_first(points, zones, "x", "y").select("vec_id", "zone")
+
+
+# Stars of 24 corners about the places of a grid, every third of them large; they overlap.
+STARS = [
+    (k, [(round(x / 4 + r * (1 if c % 2 else 0.4) * math.cos(c * math.pi / 12), 6), round(y / 4 + r * (1 if c % 2 else 0.4) * math.sin(c * math.pi / 12), 6)) for c in range(24)])
+    for k, (x, y, r) in enumerate((x, y, 0.3 if (x + y) % 3 else 0.07) for x in range(-2, 3) for y in range(-2, 3))
+]
+
+
+@query("""with sides as (select * from (values """ + ", ".join(f"({k}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for k, ring in STARS for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)) + """) s(id, x1, y1, x2, y2)),
+    points as (select vec_id, embedding[3]::double as x, embedding[4]::double as y from embeddings),
+    met as (select vec_id, id from points, sides where (y1 > y) <> (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) group by vec_id, id having count(*) % 2 = 1)
+    select vec_id, min(id)::int as zone from points left join met using (vec_id) group by vec_id""")
+def point_in_polygon(t):
+    e = t("embeddings")
+    points = e.select("vec_id", F.col("embedding")[2].cast("double").alias("x"), F.col("embedding")[3].cast("double").alias("y"))
+    zones = e.sparkSession.createDataFrame([(k, k, ring) for k, ring in STARS], "id int, zone_idx int, ring array<struct<x: double, y: double>>")
+    return match.within_first(points, zones, "x", "y").select("vec_id", "zone")
+
+
+@query("""with p as (select s_suppkey, 10000 + s_suppkey % 211 * 150 as x, 5000 + s_suppkey % 97 * 320 as y, 0.006674372231802145 as e2, 6377397.155 as a, radians(52.41864827777778) as f0 from supplier),
+    m as (select *, (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) as e1, (y - 10000 + a * ((1 - e2/4 - 3*e2**2/64 - 5*e2**3/256) * f0 - (3*e2/8 + 3*e2**2/32 + 45*e2**3/1024) * sin(2*f0) + (15*e2**2/256 + 45*e2**3/1024) * sin(4*f0)
+        - 35*e2**3/3072 * sin(6*f0))) / (a * (1 - e2/4 - 3*e2**2/64 - 5*e2**3/256)) as mu from p),
+    f as (select *, mu + (3*e1/2 - 27*e1**3/32) * sin(2*mu) + (21*e1**2/16 - 55*e1**4/32) * sin(4*mu) + 151*e1**3/96 * sin(6*mu) + 1097*e1**4/512 * sin(8*mu) as foot from m),
+    d as (select *, (x - 40000) * sqrt(1 - e2 * sin(foot)**2) / a as d, tan(foot)**2 as t, (1 - e2) / (1 - e2 * sin(foot)**2) as ratio from f),
+    g as (select *, foot - tan(foot) / ratio * (d**2/2 - (1 + 3*t) * d**4/24) as lat, radians(13.62720366666667) + (d - t * d**3/3 + (1 + 3*t) * t * d**5/15) / cos(foot) as lon from d),
+    c as (select s_suppkey, a / sqrt(1 - e2 * sin(lat)**2) as n, lat, lon, e2 from g),
+    v as (select s_suppkey, n * cos(lat) * cos(lon) as x, n * cos(lat) * sin(lon) as y, n * (1 - e2) * sin(lat) as z, radians(0.202/3600) as rx, radians(0.045/3600) as ry, radians(-2.455/3600) as rz, 1 + 6.7/1000000 as s from c),
+    w as (select s_suppkey, 598.1 + s * (x - rz * y + ry * z) as x, 73.7 + s * (rz * x + y - rx * z) as y, 418.2 + s * (-ry * x + rx * y + z) as z, 6378137.0 as a, 6378137.0 * (1 - 1/298.257223563) as b from v),
+    u as (select *, sqrt(x**2 + y**2) as r, atan2(z * a, sqrt(x**2 + y**2) * b) as q from w)
+    select s_suppkey, round(degrees(atan2(y, x)), 9) as lon, round(degrees(atan2(z + (a**2 - b**2) / b * sin(q)**3, r - (a**2 - b**2) / a * cos(q)**3)), 9) as lat from u""".replace("**", "^"))
+def reprojected_points(t):
+    """Suppliers' places in the Berlin Soldner system as longitude and latitude."""
+    at = projection.to_wgs84(10000 + F.col("s_suppkey") % 211 * 150, 5000 + F.col("s_suppkey") % 97 * 320)
+    return t("supplier").select("s_suppkey", at.alias("p")).select("s_suppkey", F.round("p.x", 9).alias("lon"), F.round("p.y", 9).alias("lat"))
+
+
+# Sides of 10 and 5 meet in a corner.
+@query("""with s as (select s_name as name, s_suppkey::double as k, s_nationkey + 2 as b from supplier),
+    inner_ as (select name, k, 2 + i as number, i * 15.0 / (b - 2) as far from (select *, unnest(range(0, b - 2)) as i from s)),
+    every as (select name, number, case when far <= 10 then far else 10.0 end as x, case when far <= 10 then k else k + far - 10 end as y, 0 as kind from inner_
+        union all select name, 1, 0.0, k, 1 from s union all select name, b, 10.0, k + 5, 2 from s)
+    select name || ' ' || number as address, round(arg_max(x, kind), 9) as x, round(arg_max(y, kind), 9) as y from every group by name, number""")
+def interpolated_addresses(t):
+    return interpolate_points(t).select("address", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
 @query("""select c_custkey, c_acctbal, case when c_acctbal between 1000 and 2000 then 'in' else 'out' end as span, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') as segment,

@@ -66,21 +66,9 @@ def test_best_match_is_the_library_one():
     assert text.best_match("abcd", ["abce", "abcf"], 0.5)[0] == "abcf"
 
 
-def test_rectangle_lines_and_polygons():
-    assert geometry.rectangle_sides([(0, 0), (4, 0), (4, 2), (0, 2), (1, 1)]) == (2, 4)
-    c, s = np.cos(0.3), np.sin(0.3)
-    turned = [(c * x - s * y, s * x + c * y) for x, y in ((0, 0), (6, 0), (6, 1), (0, 1))]
-    assert np.allclose(geometry.rectangle_sides(turned), (1, 6))
-    assert geometry.rectangle_sides([(1, 1)]) == (0, 0) and np.allclose(geometry.rectangle_sides([(0, 0), (3, 4)]), (0, 5))
-    assert geometry.along([(0, 0), (4, 0), (4, 4)], 0.75) == (4, 2)
-    square = [(0, 0), (2, 0), (2, 2), (0, 2)]
-    assert geometry.polygon_centroid(square) == (1, 1) and geometry.line_centroid([(0, 0), (4, 0)]) == (2, 0)
-    assert geometry.inside(1, 1, square) and not geometry.inside(2, 1, square) and not geometry.inside(3, 1, square)
-
-
 def test_points_of_coordinates(spark):
     rows = spark.createDataFrame([("3,1 1,5 2,2",)], "c string")
-    r = rows.select(geometry.min_x(geometry.points("c")).alias("x"), geometry.rotated_sides("c").alias("s")).first()
+    r = rows.select(geometry.min_x(geometry.points("c")).alias("x"), geometry.rotated_sides(geometry.points("c")).alias("s")).first()
     assert r.x == 1 and r.s.width < r.s.length
 
 

@@ -164,8 +164,7 @@ def test_places(spark):
     assert {(r.address, r.x) for r in geo.lot_addresses(lots).collect()} == {("a", 1.0), ("b", 1.0)}
     zones = spark.createDataFrame([("z1", 1, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]), ("z0", 0, [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)])], "id string, zone_idx int, ring array<struct<x: double, y: double>>")
     spots = spark.createDataFrame([(1.5, 1.5), (0.5, 0.5), (2.0, 0.5), (9.0, 9.0), (None, 1.0)], "x double, y double")
-    for cell in (None, 1.0):
-        assert {(r.x, r.zone) for r in match.within_first(spots, zones, "x", "y", cell=cell).collect()} == {(1.5, "z0"), (0.5, "z1"), (2.0, None), (9.0, None), (None, None)}
+    assert {(r.x, r.zone) for r in match.within_first(spots, zones, "x", "y").collect()} == {(1.5, "z0"), (0.5, "z1"), (2.0, None), (9.0, None), (None, None)}
     assert geo.geocode(spark.createDataFrame([("S 3.",), ("??",)], "address string"), "address", geo.street_addresses(rows)).filter("x is not null").count() == 1
 
 
