@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.geometry import along, centroid, line_centroid, xy
 from ..functions.projection import line_to_wgs84
-from .match import best_matches, last_of
+from .match import best_matches, last_of, looked_up
 from .scans import forward_fill
 
 
@@ -50,6 +52,14 @@ def lot_addresses(lots: DataFrame, reproject: bool = False) -> DataFrame:
     return last_of(long, "address", "field", "row_idx")
 
 
+def geocode_online(addresses: DataFrame, key: str, client: Callable[[str], tuple[float, float] | None], lead: str = "", trail: str = "", attempts: int = 3, metrics: Observation | None = None) -> DataFrame:
+    """Rows with x and y of a geocoding service's answer to the address between lead and trail; NULL without one. client: question -> (x, y) or None.
+
+    metrics: see external_lookup; filled when this returns.
+    """
+    return looked_up(addresses, key, lambda k: F.concat(F.lit(lead), k, F.lit(trail)), client, "x double, y double", attempts, metrics)
+
+
 def geocode(addresses: DataFrame, key: str, table: DataFrame, cutoff: float = 0.5) -> DataFrame:
     """Rows with x and y of their address's best match; NULL without one."""
     found = best_matches(addresses, key, table, "address", cutoff).join(table.withColumnRenamed("address", "match"), "match").select(F.col("query").alias("__query"), "x", "y")

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -103,11 +103,10 @@ def best_matches(df: DataFrame, key: str, table: DataFrame, name: str, cutoff: f
     queries = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("query")).distinct()
     names = table.filter(F.col(name).isNotNull()).select(F.col(name).alias("match")).distinct()
     same = queries.filter(F.length("query") < POPULAR).join(names, F.col("query") == F.col("match")).select("query", "match", F.lit(1.0).alias("score"))
-    found, left = staged(same), queries
-    counts = staged(names.select(F.explode(tokens(F.col("match"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+    counts = names.select(F.explode(tokens(F.col("match"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     keys = staged(indexed(names, "match", counts))
-    left = staged(indexed(left.join(found, "query", "left_anti"), "query", counts))
-    results = found
+    left = staged(indexed(queries.join(same, "query", "left_anti"), "query", counts))
+    results = same
     for level in dict.fromkeys(cutoff + s * (1 - cutoff) for s in steps):
         scored = candidate_pairs(left, keys, level).select("query", "match", similarity("match", "query").alias("score")).filter(F.col("score") >= F.lit(float(level)))
         found = staged(scored.groupBy("query").agg(F.max(F.struct("score", "match")).alias("b")).select("query", "b.match", "b.score"))
@@ -123,25 +122,40 @@ def match_codes(df: DataFrame, key: str, table: DataFrame, name: str, values: Se
     return df.join(found, F.col(key) == F.col("__query"), "left").drop("__query")
 
 
-def external_lookup(keys: DataFrame, key: str, client: Callable[[str], object], result: str) -> DataFrame:
+def external_lookup(keys: DataFrame, key: str, client: Callable[[str], object], result: str, attempts: int = 1, metrics: Observation | None = None) -> DataFrame:
     """Ask a service once for each distinct key. client: key -> tuple of the result's fields, or None; it is made part of the tasks.
 
-    A failing call gives NULLs; ``success`` tells.
+    A call that fails is made up to ``attempts`` times; then, and where the answer is None, there are NULLs, and ``success`` tells. metrics, once the
+    result has been computed, holds asked, found, failed and calls (with those made again), counted in the same pass.
     """
     names, kind = [f.split()[0] for f in result.split(",")], keys.schema[key].dataType.simpleString()
 
+    def ask(k: object) -> tuple:
+        for call in range(1, attempts + 1):
+            try:
+                got = client(k)
+            except Exception:  # noqa: BLE001 - a service's failures are results here
+                continue
+            return (k, *(got if got is not None else [None] * len(names)), got is not None, call)
+        return (k, *[None] * len(names), False, attempts)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for k in b[key]:
-                try:
-                    got = client(k)
-                except Exception:  # noqa: BLE001 - a service's failures are results here
-                    got = None
-                rows.append((k, *(got if got is not None else [None] * len(names)), got is not None))
-            yield pd.DataFrame(rows, columns=[key, *names, "success"])
-
-    return keys.select(key).distinct().mapInPandas(run, f"{key} {kind}, {result}, success boolean")
+            yield pd.DataFrame([ask(k) for k in b[key]], columns=[key, *names, "success", "__calls"])
+
+    asked = keys.select(key).distinct().mapInPandas(run, f"`{key}` {kind}, {result}, success boolean, __calls int")
+    if metrics is not None:
+        found = F.coalesce(F.sum(F.col("success").cast("long")), F.lit(0))
+        calls = F.coalesce(F.sum("__calls"), F.lit(0))
+        asked = asked.observe(metrics, F.count("*").alias("asked"), found.alias("found"), (F.count("*") - found).alias("failed"), calls.alias("calls"))
+    return asked.drop("__calls")
+
+
+def looked_up(df: DataFrame, key: str, question: Callable[[Column], Column], client: Callable[[str], object], result: str, attempts: int = 3, metrics: Observation | None = None) -> DataFrame:
+    """df with the fields that a service answers to a question made from the key; NULL for missing keys and without an answer. Equal questions are asked once."""
+    keys = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("__key")).distinct().withColumn("__question", question(F.col("__key")))
+    answers = staged(external_lookup(keys, "__question", client, result, attempts, metrics))
+    return df.join(keys.join(answers, "__question").drop("__question", "success"), F.col(key) == F.col("__key"), "left").drop("__key")
 
 
 def within_first(points: DataFrame, zones: DataFrame, x: str, y: str, zone: str = "id", order: str = "zone_idx") -> DataFrame:

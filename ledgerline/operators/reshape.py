@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import bucketed, saved_path
+
 #: Tract ids that stand for parts of another, for population and directory tables, and for tax tables.
 POPULATION_RECODE = {1161: 116, 1621: 162, 1622: 162, 1841: 184, 1842: 184, 1111: 111, 1112: 111}
 TAX_RECODE = {721: 72, 722: 72, 761: 76, 762: 76, 1111: 111, 1112: 111, 1841: 184, 1842: 184}
@@ -78,6 +82,23 @@ def wider(df: DataFrame, keys: Sequence[str], name: str, value: str, suffixes: S
     return out.select(*keys, *(F.col(f"`{x}`").alias(f"{stub}{x}") for x in suffixes))
 
 
+def cascade(tables: Mapping[str, DataFrame], keys: Sequence[str], value: str, buckets: int = 8) -> DataFrame:
+    """keys and one column per table (its name; its column ``value``), for every combination of keys that any table has.
+
+    Each table, of unique keys, is written once, bucketed and sorted by the keys, and so are all keys; the joins then run bucket by bucket without a shuffle, however many tables
+    there are. Rows with a missing key have no place. buckets: as many as give buckets of some 100 MB.
+    """
+    run = uuid.uuid4().hex[:12]
+    names = {n: f"cascade_{run}_{i}" for i, n in enumerate(tables)}
+    saved = [bucketed(df.select(*keys, F.col(value).alias(n)).na.drop(subset=list(keys)), names[n], keys, buckets) for n, df in tables.items()]
+    # Their keys are read as plain files, so that rows of one key meet whatever the buckets say of a union.
+    plain = (df.sparkSession.read.schema(df.schema).parquet(saved_path(df.sparkSession, n)).select(*keys) for n, df in zip(names.values(), saved, strict=True))
+    out = bucketed(reduce(DataFrame.union, plain).distinct(), f"cascade_{run}_keys", keys, buckets)
+    for df in saved:
+        out = out.join(df.hint("merge"), list(keys), "left")
+    return out
+
+
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(copies, observations, surplus): how many rows have keys that come so often."""
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).groupBy("copies").agg((F.count("*") * F.col("copies")).alias("observations"), (F.count("*") * (F.col("copies") - 1)).alias("surplus"))

@@ -22,8 +22,8 @@ def group(keys: Sequence[str]) -> Column:
 
 
 def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """df in range partitions, with __k (the group) and __p (the partition). Only good for one evaluation: stage what comes of it."""
-    return df.withColumn("__k", group(keys)).repartitionByRange("__k", *order).withColumn("__p", F.spark_partition_id())
+    """df in range partitions, with __group (the group) and __part (the partition). Only good for one evaluation: stage what comes of it."""
+    return df.withColumn("__group", group(keys)).repartitionByRange("__group", *order).withColumn("__part", F.spark_partition_id())
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], **sums: Column) -> DataFrame:
@@ -31,13 +31,13 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
 
     Missing values count 0. Rows of equal order come in any order.
     """
-    local = Window.partitionBy("__p", "__k").orderBy(*order).rowsBetween(FIRST, -1)
+    local = Window.partitionBy("__part", "__group").orderBy(*order).rowsBetween(FIRST, -1)
     parts = ranged(df, keys, order).withColumns({f"__scan_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()})
     parts = staged(parts.withColumns({f"__in_{n}": F.sum(f"__scan_{n}").over(local) for n in sums}))
-    stretches = parts.groupBy("__k", "__p").agg(*(F.sum(f"__scan_{n}").alias(f"__scan_{n}") for n in sums))
-    earlier, whole = Window.partitionBy("__k").orderBy("__p").rowsBetween(FIRST, -1), Window.partitionBy("__k")
-    carried = stretches.select("__k", "__p", *(F.sum(f"__scan_{n}").over(earlier).alias(f"__at_{n}") for n in sums), *(F.sum(f"__scan_{n}").over(whole).alias(f"total_{n}") for n in sums))
-    joined = parts.drop(*(f"__scan_{n}" for n in sums)).join(carried, ["__k", "__p"])
+    stretches = parts.groupBy("__group", "__part").agg(*(F.sum(f"__scan_{n}").alias(f"__scan_{n}") for n in sums))
+    earlier, whole = Window.partitionBy("__group").orderBy("__part").rowsBetween(FIRST, -1), Window.partitionBy("__group")
+    carried = stretches.select("__group", "__part", *(F.sum(f"__scan_{n}").over(earlier).alias(f"__at_{n}") for n in sums), *(F.sum(f"__scan_{n}").over(whole).alias(f"total_{n}") for n in sums))
+    joined = parts.drop(*(f"__scan_{n}" for n in sums)).join(carried, ["__group", "__part"])
     filled = {f"before_{n}": F.coalesce(f"__in_{n}", F.lit(0)) + F.coalesce(f"__at_{n}", F.lit(0)) for n in sums}
     return joined.withColumns(filled).select(*df.columns, *filled, *(f"total_{n}" for n in sums))
 
@@ -59,13 +59,13 @@ def medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "median"
 
 def forward_fill(df: DataFrame, values: Sequence[str], order: Sequence[str], default: object = None) -> DataFrame:
     """df with each NULL of the values replaced by the last one before it in the order of all rows; before the first by default."""
-    local = Window.partitionBy("__p").orderBy(*order).rowsBetween(FIRST, NOW)
+    local = Window.partitionBy("__part").orderBy(*order).rowsBetween(FIRST, NOW)
     filled = {f"__{v}": F.last(v, True).over(local) for v in values}
-    parts = staged(ranged(df, [], order).withColumns(filled).drop("__k"))
-    last = parts.groupBy("__p").agg(*(F.max_by(F.struct(f"__{v}"), F.struct(*order))[f"__{v}"].alias(f"__{v}") for v in values))
-    carried = last.select("__p", *(F.last(f"__{v}", True).over(Window.orderBy("__p").rowsBetween(FIRST, -1)).alias(f"__at_{v}") for v in values))
+    parts = staged(ranged(df, [], order).withColumns(filled).drop("__group"))
+    last = parts.groupBy("__part").agg(*(F.max_by(F.struct(f"__{v}"), F.struct(*order))[f"__{v}"].alias(f"__{v}") for v in values))
+    carried = last.select("__part", *(F.last(f"__{v}", True).over(Window.orderBy("__part").rowsBetween(FIRST, -1)).alias(f"__at_{v}") for v in values))
     rest = [] if default is None else [F.lit(default)]
-    joined = parts.join(F.broadcast(carried), "__p")  # one row a partition
+    joined = parts.join(F.broadcast(carried), "__part")  # one row a partition
     return joined.withColumns({v: F.coalesce(f"__{v}", f"__at_{v}", *rest) for v in values}).select(*df.columns)
 
 
@@ -75,17 +75,17 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, l
     A run that nothing ends, the group's last, is left out unless ``last``. NULL labels are equal. Partitions first
     make runs of their own; where one goes on in the next partition the two are merged.
     """
-    local = Window.partitionBy("__p", "__k").orderBy(*order)
+    local = Window.partitionBy("__part", "__group").orderBy(*order)
     same = F.lag(F.struct(label)).over(local).eqNullSafe(F.struct(label))
     marked = ranged(df.select(*dict.fromkeys([*keys, *order, label])), keys, order).withColumn("__new", F.when(same, 0).otherwise(1))
     marked = marked.withColumn("__i", F.sum("__new").over(local.rowsBetween(FIRST, NOW)))
-    pieces = staged(marked.groupBy("__p", "__k", "__i").agg(F.first(F.struct(F.col(label).alias("label"))).alias("__l"), F.count("*").alias("n")))
-    ends = pieces.groupBy("__k", "__p").agg(F.min_by("__l", "__i").alias("__first"), F.max_by("__l", "__i").alias("__last"), F.max("__i").alias("__m"))
-    over = Window.partitionBy("__k").orderBy("__p")
+    pieces = staged(marked.groupBy("__part", "__group", "__i").agg(F.first(F.struct(F.col(label).alias("label"))).alias("__l"), F.count("*").alias("n")))
+    ends = pieces.groupBy("__group", "__part").agg(F.min_by("__l", "__i").alias("__first"), F.max_by("__l", "__i").alias("__last"), F.max("__i").alias("__m"))
+    over = Window.partitionBy("__group").orderBy("__part")
     linked = ends.withColumn("__on", F.when(F.lag("__last").over(over) == F.col("__first"), 1).otherwise(0)).withColumn("__m", F.col("__m") - F.col("__on"))
     shift = F.coalesce(F.sum("__m").over(over.rowsBetween(FIRST, -1)), F.lit(0)) - F.col("__on")
-    shifts = linked.select("__k", "__p", shift.alias("__shift"), F.sum("__m").over(Window.partitionBy("__k")).alias("__runs"))
-    numbered = pieces.join(shifts, ["__k", "__p"]).withColumn("run", F.col("__i") + F.col("__shift"))
+    shifts = linked.select("__group", "__part", shift.alias("__shift"), F.sum("__m").over(Window.partitionBy("__group")).alias("__runs"))
+    numbered = pieces.join(shifts, ["__group", "__part"]).withColumn("run", F.col("__i") + F.col("__shift"))
     kept = numbered if last else numbered.filter(F.col("run") < F.col("__runs"))
-    merged = kept.groupBy("__k", "run").agg(F.first("__l").alias("__l"), F.sum("n").alias("n"))
-    return merged.select(*(F.col(f"__k.{k}").alias(k) for k in keys), F.col("run").cast("int").alias("run"), F.col("__l.label").alias("label"), "n")
+    merged = kept.groupBy("__group", "run").agg(F.first("__l").alias("__l"), F.sum("n").alias("n"))
+    return merged.select(*(F.col(f"__group.{k}").alias(k) for k in keys), F.col("run").cast("int").alias("run"), F.col("__l.label").alias("label"), "n")

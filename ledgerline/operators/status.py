@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.text import pad_code, strip_code
-from .match import first_of, lookup, match_codes
+from ..functions.text import html_codes, latin_escape, pad_code, strip_code
+from .match import first_of, looked_up, lookup, match_codes
 
 
 def score_table(rows: DataFrame, code: str = "HISCO", score: str = "HISCAM") -> DataFrame:
@@ -32,9 +32,19 @@ def modal_code(df: DataFrame, key: str, code: str) -> DataFrame:
     return df.groupBy(key).agg(F.mode(code, True).alias(code))
 
 
+def codes_online(df: DataFrame, key: str, client: Callable[[str], str | None], name: str = "hisco", attempts: int = 3, metrics: Observation | None = None) -> DataFrame:
+    """Adds ``name``: the most frequent five-digit cell of the page that a service returns for the occupation, of equally frequent ones the smallest.
+
+    The question has a Latin-1 web form's escapes. client: question -> page or None. NULL without an answer or a code in it. metrics: see external_lookup.
+    """
+    pages = looked_up(df.select(key).distinct(), key, latin_escape, lambda q: (p,) if (p := client(q)) is not None else None, "__page string", attempts, metrics)
+    codes = pages.select(F.col(key).alias("__of"), F.explode(html_codes("__page")).alias(name))
+    return df.join(modal_code(codes, "__of", name), F.col(key) == F.col("__of"), "left").drop("__of")
+
+
 def retained(df: DataFrame, methods: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """The columns a referenced table keeps."""
     return df.select(*(f"{c}_{m}" for c in ("hiscam", "x", "y", "sb") for m in methods))
 
 
-__all__ = ["coded", "first_of", "modal_code", "retained", "score_table", "scored"]
+__all__ = ["coded", "codes_online", "first_of", "modal_code", "retained", "score_table", "scored"]

@@ -438,6 +438,39 @@ def fuzzy_match(t):
     return match.best_matches(asked, "asked", names, "p_name", 0.5).select("query", "match", F.round("score", 6).alias("score"))
 
 
+@query("""select c_custkey, case when c_custkey % 11 = 0 then null else lpad((c_custkey % 7)::varchar, 5, '0') end as code from customer""")
+def status_lookup(t):
+    """Codes of made-up occupations, from pages that a client makes of the question; every eleventh question fails, and others fail at first."""
+    calls = {}
+
+    def client(question: str) -> str:
+        n = int(question.removeprefix("M%FCller+"))
+        calls[n] = calls.get(n, 0) + 1
+        if n % 11 == 0 or (n % 13 == 0 and calls[n] < 3):
+            raise ConnectionError(question)
+        return "".join(f"<td>{c:05d}</td>" for c in (n % 7, n % 5 + 90, n % 7)) + "<td>123456</td>"
+
+    rows = t("customer").select("c_custkey", F.concat(F.lit("Müller "), F.col("c_custkey").cast("string")).alias("occupation"))
+    return status.codes_online(rows, "occupation", client, "code").select("c_custkey", "code")
+
+
+CASCADE = {(g, s): f"(o_orderkey + {g}) % 4 <> 0" for g in (1, 2, 3) for s in (1, 2, 3)}
+
+
+@query("""with o as (select o_orderkey, o_custkey % 6 as id, o_totalprice as v from orders), m as (select * from (values """ + ", ".join(f"({g}, {s})" for g, s in CASCADE) + """) m(g, s)),
+    r as (select g, s, id, v * s as v, row_number() over (partition by g, s, id order by v) as pos, count(*) over (partition by g, s, id) as n from o, m where (o_orderkey + g) % 4 <> 0 and (g <> 2 or id <> 3)),
+    t as (select g, s, id, q::int as q, round(case when n > 100 then sum(case when pos / n >= q / 100 then v else 0 end) / sum(v) end, 6) as share from r, (select unnest(range(30, 100))::double as q) group by g, s, id, q, n)
+    select id::int as id, q, """ + ", ".join(f"max(share) filter (g = {g} and s = {s}) as hiscam_share_{g}_{s}" for g, s in CASCADE) + """ from t group by id, q""")
+def share_panel(t):
+    """Top shares of three choices of orders and three scores, nine tables, side by side."""
+    from . import referencing
+
+    keep = lambda g: ((F.col("o_orderkey") + g) % 4 != 0) & (F.lit(g != 2) | (F.col("o_custkey") % 6 != 3))
+    places = [F.when(keep(g), F.col("o_custkey") % 6).cast("string").alias(f"sb_{g}") for g in (1, 2, 3)]
+    panel = referencing.share_panel(referencing.tract_top_shares(referencing.long_form(t("orders").select(*places, *((F.col("o_totalprice") * s).alias(f"hiscam_{s}") for s in (1, 2, 3))))))
+    return panel.select("id", "q", *(F.round(c, 6).alias(c) for c in panel.columns[2:]))
+
+
 @query()
 def crf_label(t):
     """Labels of customers' entries by a model trained on made-up entries."""

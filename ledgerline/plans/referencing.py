@@ -13,6 +13,7 @@ from ..operators.geo import geocode
 from ..operators.labels import Crf, occupations, parse_entries
 from ..operators.lines import structured
 from ..operators.match import via_distinct, within_first
+from ..operators.reshape import cascade
 from ..operators.status import coded, scored
 
 
@@ -61,6 +62,12 @@ def tract_top_shares(long: DataFrame, stata_float: bool = False) -> DataFrame:
     return top_shares(rows, "__k", "hiscam", float32=stata_float).select("__k.*", "q", "share")
 
 
+def share_panel(shares: DataFrame, methods: Sequence[int] = (1, 2, 3), buckets: int = 8) -> DataFrame:
+    """(id, q) and hiscam_share_{geo}_{status} for every pair of methods, from tract_top_shares: nine tables joined without a shuffle."""
+    tables = {f"hiscam_share_{g}_{s}": shares.filter((F.col("geo_m") == g) & (F.col("status_m") == s)) for g in methods for s in methods}
+    return cascade(tables, ["id", "q"], "share", buckets)
+
+
 def validation(shares: DataFrame, official: DataFrame) -> DataFrame:
     """Rank correlation of estimated with official top shares (id, q, top_share) over tracts, by methods and q."""
     both = shares.join(official, ["id", "q"])

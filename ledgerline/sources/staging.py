@@ -27,8 +27,12 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}"
+
+
 def bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> DataFrame:
-    """df saved once as a table of the warehouse in buckets by keys, sorted by them: tables of equal keys and buckets join without a shuffle."""
+    """df saved once as a table in buckets by keys, sorted by them, its files in the shared folder: tables of equal keys and buckets join without a shuffle."""
     rows = df.repartition(buckets, *keys)
-    rows.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").format("parquet").saveAsTable(name)
+    rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", saved_path(df.sparkSession, name)).format("parquet").saveAsTable(name)
     return df.sparkSession.table(name)

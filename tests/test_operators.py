@@ -154,6 +154,47 @@ def test_lookups(spark):
     assert {(r.k, r.x, r.success) for r in got} == {(1, 2.0, True), (2, None, False)}
 
 
+def test_online_lookups_count_what_they_asked(spark):
+    from pyspark.sql import Observation
+
+    from ledgerline.functions.text import latin_escape
+
+    pages = {"Maurer": "<td>09510</td><td>12345</td><td>12345</td>", "Kfm+%FC": "<td>22222</td><td>11111</td>", "leer": "<p>none</p>"}
+
+    def client(question):
+        if question == "down":
+            raise ConnectionError
+        return pages.get(question)
+
+    seen = Observation()
+    df = spark.createDataFrame([("Maurer",), ("Maurer",), ("Kfm ü",), ("leer",), ("down",), ("unknown",), (None,)], "occupation string")
+    got = status.codes_online(df, "occupation", client, attempts=4, metrics=seen)
+    assert sorted(map(str, ((r.occupation, r.hisco) for r in got.collect()))) == sorted(map(str, [("Maurer", "12345")] * 2 + [("Kfm ü", "11111"), ("leer", None), ("down", None), ("unknown", None), (None, None)]))
+    assert seen.get == {"asked": 5, "found": 3, "failed": 2, "calls": 8}
+    assert latin_escape(F.lit("ü")) is not None
+    seen = Observation()
+    places = {"Berlin, Astr 1, 1880": (1.0, 2.0)}
+    rows = spark.createDataFrame([("Astr 1", 7), ("Bstr", 8), (None, 9)], "address string, x_old int")
+    got = geo.geocode_online(rows, "address", places.get, "Berlin, ", ", 1880", metrics=seen)
+    assert {(r.address, r.x_old, r.x, r.y) for r in got.collect()} == {("Astr 1", 7, 1.0, 2.0), ("Bstr", 8, None, None), (None, 9, None, None)}
+    assert seen.get == {"asked": 2, "found": 1, "failed": 1, "calls": 2}
+    seen = Observation()
+    assert geo.geocode_online(rows.limit(0), "address", places.get, metrics=seen).collect() == [] and seen.get["asked"] == 0
+
+
+def test_tables_are_joined_without_a_shuffle(spark):
+    tables = {f"t{k}": spark.createDataFrame([(i, q, float(i * q * k)) for i in range(40) for q in (1, 2) if (i + k) % 3] + [(None, 1, 9.0)], "id int, q int, v double") for k in range(9)}
+    out = reshape.cascade(tables, ["id", "q"], "v", buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 9
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 80 and all(r[f"t{k}"] == (float(r.id * r.q * k) if (r.id + k) % 3 else None) for r in rows for k in range(9))
+
+
 def test_places(spark):
     street = "name string, num_1 string, num_2 string, num_3 string, num_4 string, line array<struct<x: double, y: double>>, row_idx int"
     line, closed = [(0.0, 0.0), (4.0, 0.0)], [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]

@@ -40,7 +40,7 @@ def test_prefix_sums_of_a_hot_group(spark, parts):
 
 def test_one_group_uses_all_partitions(spark, parts):
     df = spark.range(1000).select(F.lit("one").alias("g"), F.col("id").alias("i"))
-    held = scans.staged(scans.ranged(df, ["g"], ["i"])).groupBy("__p").count().collect()
+    held = scans.staged(scans.ranged(df, ["g"], ["i"])).groupBy("__part").count().collect()
     assert len(held) == parts and max(x["count"] for x in held) <= 2 * 1000 / parts
 
 

@@ -8,7 +8,7 @@ import struct
 from pyspark.sql import functions as F
 
 from ledgerline.operators import labels
-from ledgerline.plans import referencing
+from ledgerline.plans import master, referencing
 from ledgerline.sources import pagexml, tables
 from ledgerline.streaming import labeller
 
@@ -107,6 +107,12 @@ def test_from_pages_to_scores(spark, tmp_path):
     long = referencing.long_form(out)
     assert {(r.geo_m, r.status_m, r.id, r.n, r["mean"]) for r in referencing.tract_statistics(long).collect()} == {(g, s, 7, 16, 50.0) for g in (1, 2, 3) for s in (1, 2, 3)}
     assert referencing.tract_top_shares(long).filter("share is not null").count() == 0
+    given = master.Inputs(str(tmp_path / "pages"), model(), [places] * 3, [jobs] * 3, scores, tracts, spark.createDataFrame([(7, 30, 0.5)], "id int, q int, top_share double"), spark.createDataFrame([("Astr",)], "name string"))
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "p1.xml").rename(tmp_path / "pages" / "p1.xml")
+    done = master.run(spark, given, str(tmp_path / "export"))
+    assert referenced_rows(done.referenced) == referenced_rows(out) and spark.read.parquet(str(tmp_path / "export")).columns == done.exported.columns and len(done.exported.columns) == 12
+    assert done.statistics.count() == 9 and done.panel.count() == 70 and len(done.panel.columns) == 11 and {r.rho for r in done.validation.collect()} <= {None}
 
 
 def test_stream_equals_batch(spark, tmp_path):
