@@ -15,8 +15,8 @@ from .hashing import BASE, INVERSE, LANE, U, mix, powers, prefix_hashes, span_ha
 
 GRAM = 32
 RUN = "anchor long, context long, doc long, at long, n int, places int"
-#: Suffixes sorted at once; an anchor with more gets several buckets.
-BATCH = 200_000
+#: Suffixes sorted at once, and bytes of their contexts; an anchor with more than BUCKET gets several buckets.
+BATCH, BATCH_BYTES = 100_000, 2_000_000
 BUCKET = 200_000
 
 
@@ -243,7 +243,7 @@ def repeated_spans(
                         column.append(x)
                     texts.append(data)
                     size, count = size + len(data), count + len(n)
-                if count > 100_000:
+                if count > 50_000:
                     yield flush()
                     texts, held, size, count = [], [[] for _ in range(7)], 0, 0
         if count:
@@ -288,7 +288,7 @@ def repeated_spans(
                         bytes_ = raw[w["start"] : w["start"] + w["n"] - 1 + length]
                         out.append((w["kind"], w["anchor"], salt % (w["buckets"] or 1), w["buckets"], doc, w["start"] + (tie << 31), w["n"], w["fdoc"], w["fat"], bytes_))
                         held += len(bytes_)
-                    if held > 4_000_000:
+                    if held > 1_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), CUT, strict=True)], schema=CUT)
                         out, held = [], 0
                 if out:
@@ -324,16 +324,17 @@ def repeated_spans(
                 x = start[many]
                 yield arrays(OUT, doc[of[many]], at[of[many]] + place[many], np.ones(many.sum(), np.int64), span_hash(s.h, x, x + length), mix(span_hash(s.h, x, x + length // 2)))
 
-        held, now, group, windows = [], None, 0, 0
+        held, now, group, windows, size = [], None, 0, 0, 0
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r[:2] != now:
-                    if windows >= BATCH:
-                        yield from flush()
-                        held, windows = [], 0
-                    now, group = r[:2], group + 1
-                held.append((r[0], group, *r[2:]))
-                windows += len(r[5]) - length + 1
+            for k in range(0, len(b), 1024):
+                for r in zip(*(c.to_pylist() for c in b.slice(k, 1024).columns), strict=True):
+                    if r[:2] != now:
+                        if windows >= BATCH or size >= BATCH_BYTES:
+                            yield from flush()
+                            held, windows, size = [], 0, 0
+                        now, group = r[:2], group + 1
+                    held.append((r[0], group, *r[2:]))
+                    windows, size = windows + len(r[5]) - length + 1, size + len(r[5])
         if held:
             yield from flush()
 
@@ -405,7 +406,7 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, len(whole), 256)):
             texts = []
             for text, spans in zip(b.column("__text").to_pylist(), b.column("__spans").to_pylist(), strict=True):
                 if text and spans:
