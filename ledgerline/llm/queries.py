@@ -99,9 +99,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    from . import chat, clustering, collocations, urls
+    from . import chat, clustering, collocations, sharding, urls
 
     return {
+        "op1_shard_prefix_sums": sharding.oracle(),
         "op4_url_reputation": urls.oracle(),
         "op11_delta_lloyd": clustering.oracle(),
         "op12_chat_fingerprints": chat.oracle(),

@@ -48,3 +48,17 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col: str = "
             F.lit(None).cast("int").alias("grown_shard"),
         )
     )
+
+
+def oracle(shards: int = 40, overhead: int = 16) -> str:
+    """The same shards in DuckDB, for unique ids; crc32 byte by byte with its table of 256 entries."""
+    half = "if(x & 1 = 1, xor(x >> 1, 3988292384), x >> 1)"
+    entry = "i"
+    for _ in range(8):
+        entry = f"list_transform([{entry}], lambda x: {half})[1]"
+    return f"""with crc as (select list_transform(range(256), lambda i: {entry}) as entries),
+        bytes as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        sized as (select doc_id, length(h) // 2 + {overhead} as size, xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::bigint)),
+            lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]))) as text_crc32 from bytes, crc),
+        placed as (select *, least(floor(cast((sum(size) over (order by doc_id) - size) * {shards} as double) / sum(size) over ()), {shards - 1})::int as shard from sized)
+        select doc_id, size::bigint as size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id) - 1 as slot, null::int as grown_shard from placed"""
