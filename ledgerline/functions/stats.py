@@ -19,6 +19,11 @@ def sum_or_zero(value: Column | str) -> Column:
     return F.coalesce(F.sum(value), F.lit(0))
 
 
+def total_if(value: Column | str, condition: Column) -> Column:
+    """The sum over the rows of a group that meet the condition; 0 where none does or all are missing."""
+    return sum_or_zero(F.when(condition, F.col(value) if isinstance(value, str) else value))
+
+
 def row_total(*values: str) -> Column:
     """Sum across columns, missing as 0."""
     out = F.lit(0)

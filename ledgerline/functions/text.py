@@ -80,6 +80,11 @@ def html_codes(html: Column | str) -> Column:
     return F.regexp_extract_all(col(html), F.lit(">([0-9]{5})<"), F.lit(1))
 
 
+def json_value(text: Column | str, path: str, kind: str = "string") -> Column:
+    """The value at a path of a JSON text as ``kind``; NULL where the text, the path or the kind doesn't fit."""
+    return F.get_json_object(col(text), path).try_cast(kind)
+
+
 def is_lower(c: Column) -> Column:
     return c.rlike(r"\p{L}") & (c == F.lower(c)) & (c != F.upper(c))
 

@@ -66,6 +66,15 @@ def merge(left: DataFrame, right: DataFrame, keys: Sequence[str], check: bool =
     return both.select(*shown, F.when(F.col("l__").isNull(), 2).when(F.col("r__").isNull(), 1).otherwise(3).alias(indicator))
 
 
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], check: bool = False) -> DataFrame:
+    """Rows whose keys both tables have, with the columns of both, the left one's values where both have a column; missing keys match nothing. check: keys must be unique on both sides."""
+    if check:
+        for side in (left, right):
+            if not side.groupBy(*keys).count().filter("count > 1").isEmpty():
+                raise ValueError(f"keys {list(keys)} are not unique")
+    return left.join(right.drop(*(c for c in right.columns if c in left.columns and c not in keys)), list(keys))
+
+
 def longer(df: DataFrame, keys: Sequence[str], stubs: Sequence[str], suffixes: Sequence, name: str) -> DataFrame:
     """Families of columns stub+suffix as rows: keys, name (the suffix), one column per stub. Missing members are NULL."""
     def member(s: str, x: object) -> Column:

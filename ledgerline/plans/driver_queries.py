@@ -80,7 +80,7 @@ def merge_indicator(t):
 def merge_matched(t):
     left = t("customer").filter("c_nationkey < 20").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
     right = t("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"))
-    return left.join(right, "k")
+    return reshape.matched(left, right, ["k"], check=True)
 
 
 @query("""select c_custkey, c_name, c_acctbal, null::bigint as s_suppkey, null::varchar as s_name from customer
@@ -327,7 +327,7 @@ def html_codes(t):
 
 @query("""select event_id, (json_extract(props, '$.k'))::int as k from events""")
 def json_props(t):
-    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return t("events").select("event_id", text.json_value("props", "$.k", "int").alias("k"))
 
 
 BOXES = [(k, x / 10, y / 10, x / 10 + 0.15, y / 10 + 0.15) for k, (x, y) in enumerate((x, y) for x in range(-3, 3) for y in range(-3, 3))]
@@ -417,7 +417,8 @@ def row_positions(t):
 
 @query("""select user_id, coalesce(sum(value) filter (event_type = 'error'), 0) as in_errors, sum(value) as total, max(value) as largest, round(stddev_pop(value), 6) as spread from events group by 1""")
 def conditional_totals(t):
-    return t("events").groupBy("user_id").agg(F.coalesce(F.sum(F.when(F.col("event_type") == "error", F.col("value"))), F.lit(0.0)).alias("in_errors"), F.sum("value").alias("total"), F.max("value").alias("largest"), F.round(F.stddev_pop("value"), 6).alias("spread"))
+    in_errors = stats.total_if("value", F.col("event_type") == "error").alias("in_errors")
+    return t("events").groupBy("user_id").agg(in_errors, F.sum("value").alias("total"), F.max("value").alias("largest"), F.round(F.stddev_pop("value"), 6).alias("spread"))
 
 
 # The longest common block (the first in the name, then in the question), then the same left and right of it, until nothing is common.

@@ -98,6 +98,12 @@ def test_top_shares(spark, float32):
         assert share == pytest.approx(sum(x for x, p in zip(v, at) if p >= q / 100) / sum(v), abs=1e-12)
 
 
+def test_values_of_json_and_totals_of_some(spark):
+    assert column(spark, ['{"k": 3}', '{"k": "x"}', "{}", "no", None], text.json_value("c", "$.k", "int")) == [3, None, None, None, None]
+    df = spark.createDataFrame([(1, 2.0), (1, None), (2, 5.0)], "g int, v double")
+    assert {(r.g, r.t) for r in df.groupBy("g").agg(stats.total_if("v", F.col("v") < 3).alias("t")).collect()} == {(1, 2.0), (2, 0.0)}
+
+
 def test_missing_values_in_statistics(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, 3.0), (None, 1.0)], "g int, v double")
     assert {(r.g, r.n, r["mean"]) for r in stats.count_mean(df, ["g"], "v").collect()} == {(1, 0, None), (2, 1, 3.0), (None, 1, 1.0)}

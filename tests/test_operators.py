@@ -221,6 +221,9 @@ def test_merges(spark):
     assert (None, "n", "l", 3) in {(r.k, r.v, r.w, r.merge) for r in reshape.merge(a, b, ["k"], match_nulls=True).collect()}
     with pytest.raises(ValueError):
         reshape.merge(a.union(a), b, ["k"], check=True)
+    assert [tuple(r) for r in reshape.matched(a, b, ["k"], check=True).collect()] == [(1, "x", "l")]
+    with pytest.raises(ValueError):
+        reshape.matched(a.union(a), b, ["k"], check=True)
     wide = spark.createDataFrame([(1, 10, 20, 30)], "id int, a1 int, a2 int, b1 int")
     assert {(r.j, r.a, r.b) for r in reshape.longer(wide, ["id"], ["a", "b"], [1, 2], "j").collect()} == {(1, 10, 30), (2, 20, None)}
 
