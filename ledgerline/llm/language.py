@@ -145,7 +145,7 @@ def identify(
 
     log P(lang | page) adds up
     - per_gram times the log-likelihood of the visible text's trigrams (neighbouring trigrams overlap, hence the factor),
-    - log P(declared | lang): how often pages whose text looks like lang declare this, over all pages; half a page is added to each
+    - log P(declared | lang): how often other pages whose text looks like lang declare this; half a page is added to each
       declared value, the ones never seen with lang too,
     - log P(lang | host): the languages of texts of the host's other pages, shrunk to those of its registered domain, those to its suffix and
       those to all pages, all counted by grouped aggregation and less the page itself.
@@ -200,11 +200,11 @@ def identify(
         return df.withColumn(name, F.zip_with(c, parent, lambda x, p: (x + kappa * p) / (F.col("__all") + kappa)))
 
     known = scored.join(hosts.drop("suffix", "domain"), "host", "left").join(says, F.col("declared").eqNullSafe(F.col("__declared")), "left").join(everywhere).join(values)
-    known = known.withColumn("own", own).withColumn("all", F.coalesce("c0", zero)).withColumn("uniform", F.array_repeat(F.lit(1.0 / n), n))
-    known = shrunk(known, "c0", "uniform", float(n), "p0")
+    known = known.withColumn("own", own).withColumn("uniform", F.array_repeat(F.lit(1.0 / n), n))
+    known = shrunk(known, "c0", "uniform", float(n), "p0")  # c0 is less the page itself from here on
     for k, kappa in enumerate(kappas, 1):
         known = shrunk(known, f"c{k}", f"p{k - 1}", kappa, f"p{k}")
-    known = known.withColumn("says", F.zip_with(F.coalesce("said", zero), "all", lambda x, t: (x + 0.5) / (t + 0.5 * F.col("values"))))
+    known = known.withColumn("says", F.zip_with(less(F.col("said")), "c0", lambda x, t: (x + 0.5) / (t + 0.5 * F.col("values"))))
     joined = (
         known.withColumn("logs", F.transform(F.arrays_zip("likely", F.col("p3").alias("prior"), "says"), lambda x: per_gram * x["likely"] + F.ln(x["prior"]) + F.ln(x["says"])))
         .withColumn("best", F.array_max("logs"))
