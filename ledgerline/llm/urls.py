@@ -56,7 +56,7 @@ def reputations(seen: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataF
     """host and bad_bound, the lower posterior bound of its rate of bad pages, for all hosts of ``seen``.
 
     outcomes: host and bad (0 or 1) of labelled pages. A suffix is shrunk to the rate of all, a registered domain to its
-    suffix, a host to its domain; each level has its own prior strength. The bound is the posterior mean less z
+    suffix, a host to its domain, each without the host's own outcomes, which so count once; each level has its own prior strength. The bound is the posterior mean less z
     posterior standard deviations. Hosts without outcomes stand where their domain does.
     """
     part = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
@@ -70,8 +70,8 @@ def reputations(seen: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataF
     one = F.broadcast(level(suffixes, "sn", "sk", "ks").join(F.broadcast(level(domains, "dn", "dk", "kd"))).join(F.broadcast(level(known, "n", "k", "kh"))))
     return (
         hosts.join(suffixes, "suffix", "left").join(domains, ["suffix", "domain"], "left").join(one)
-        .withColumn("ps", F.expr("(coalesce(sk, 0) + ks * ks_mean) / (coalesce(sn, 0) + ks)"))
-        .withColumn("pd", F.expr("(coalesce(dk, 0) + kd * ps) / (coalesce(dn, 0) + kd)"))
+        .withColumn("ps", F.expr("(coalesce(sk, 0) - k + ks * ks_mean) / (coalesce(sn, 0) - n + ks)"))
+        .withColumn("pd", F.expr("(coalesce(dk, 0) - k + kd * ps) / (coalesce(dn, 0) - n + kd)"))
         .withColumn("a", F.expr("k + kh * pd")).withColumn("s", F.expr("n + kh"))
         .select("host", F.expr(f"a / s - {z} * sqrt(a * (s - a) / (s * s * (s + 1)))").alias("bad_bound"))
     )
@@ -129,8 +129,8 @@ def oracle(rules: Sequence[tuple[str, str]] = RULES, limit: float = 0.2, z: floa
     known as (select * from hosts where n > 0),
     domains as (select suffix, domain, sum(n) as dn, sum(k) as dk from known group by suffix, domain),
     suffixes as (select suffix, sum(dn) as sn, sum(dk) as sk from domains group by suffix),
-    ps as (select h.*, (coalesce(sk, 0) + s.kappa * s.mean) / (coalesce(sn, 0) + s.kappa) as ps from hosts h left join suffixes using (suffix), {level("suffixes", "sn", "sk")} s),
-    pd as (select p.*, (coalesce(dk, 0) + d.kappa * ps) / (coalesce(dn, 0) + d.kappa) as pd from ps p left join domains using (suffix, domain), {level("domains", "dn", "dk")} d),
+    ps as (select h.*, (coalesce(sk, 0) - k + s.kappa * s.mean) / (coalesce(sn, 0) - n + s.kappa) as ps from hosts h left join suffixes using (suffix), {level("suffixes", "sn", "sk")} s),
+    pd as (select p.*, (coalesce(dk, 0) - k + d.kappa * ps) / (coalesce(dn, 0) - n + d.kappa) as pd from ps p left join domains using (suffix, domain), {level("domains", "dn", "dk")} d),
     post as (select p.host, k + h.kappa * pd as a, n + h.kappa as s from pd p, {level("known", "n", "k")} h),
     bounds as (select host, a / s - {z} * sqrt(a * (s - a) / (s * s * (s + 1))) > {limit} as worse from post)
     select page_id, host, path, {case(2)} as rule, coalesce({case(1)}, case when worse then 'block' else 'allow' end) as verdict

@@ -159,6 +159,30 @@ def test_url_rules_and_reputations(spark):
     assert judge_urls(pages.limit(0), labels).collect() == [] and judge_urls(pages, labels.limit(0)).count() == 270
 
 
+def test_a_host_is_judged_against_the_others(spark):
+    """Posteriors in plain Python, each level's prior without the host's own outcomes."""
+    from ledgerline.llm.urls import reputations, strength
+
+    r = random.Random(9)
+    hosts = {f"h{i}.d{i % 4}.{'com' if i % 3 else 'co.uk'}": (r.randint(0, 12), r.random()) for i in range(24)} | {"alone.org": (5, 0.9), "": (2, 0.5)}
+    outcomes = [(h, int(r.random() < p)) for h, (n, p) in hosts.items() for _ in range(n)]
+    part = lambda h: (".".join(h.split(".")[1:]) if h.startswith("h") else h, "co.uk" if h.endswith("co.uk") else h.rsplit(".", 1)[-1])
+    seen, known = spark.createDataFrame([(h,) for h in hosts], "host string"), spark.createDataFrame(outcomes, "host string, bad long")
+    count = lambda f: {v: (sum(f(h) == v for h, _ in outcomes), sum(b for h, b in outcomes if f(h) == v)) for v in {f(h) for h, _ in outcomes}}
+    levels = [count(f) for f in (lambda h: part(h)[1], lambda h: part(h)[0], lambda h: h)]
+    prior = [strength(spark.createDataFrame(list(x.values()), "n long, k long")).first() for x in levels]
+    got = {x.host: x.bad_bound for x in reputations(seen, known).collect()}
+    assert set(got) == set(hosts)
+    for h in hosts:
+        n, k = levels[2].get(h, (0, 0))
+        mean = prior[0]["mean"]
+        for level, at, (kappa, _) in zip(levels[:2], (part(h)[1], part(h)[0]), prior[:2]):
+            m, j = level.get(at, (0, 0))
+            mean = (j - k + kappa * mean) / (m - n + kappa)
+        a, s = k + prior[2].kappa * mean, n + prior[2].kappa
+        assert got[h] == pytest.approx(a / s - 1.645 * math.sqrt(a * (s - a) / (s * s * (s + 1))), abs=1e-9)
+
+
 def test_languages_fuse_evidence(spark):
     r = random.Random(6)
     kinds = {"aa": "abcde", "bb": "vwxyz"}
@@ -225,7 +249,7 @@ def brute_identify(pages, likely, langs, per_gram=0.25, kappas=(50.0, 20.0, 10.0
             prior = (c + kappa * prior) / (c.sum() + kappa)
         said, all_ = np.zeros(n), np.zeros(n)
         for j, q in enumerate(pages):
-            if looks[j] is not None:
+            if j != i and looks[j] is not None:
                 all_[looks[j]] += 1
                 said[looks[j]] += q[3] == p[3]
         logs = (0 if likely[i] is None else per_gram * np.array(likely[i])) + np.log(prior) + np.log((said + 0.5) / (all_ + 0.5 * values))
