@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .binomial import upper_bound
@@ -15,13 +15,18 @@ from .common import materialize
 
 SYMBOLS = b"#*$%&|<>"
 STATS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
-#: Rule: what it measures, as SQL over the statistics. Higher is worse; each is cut on a grid of GRID steps up to its scale.
+#: Rule: what it measures, as SQL over the statistics, and its scale. Higher is worse; each may be cut at any of steps(GRID) of its scale.
 RULES = {
     "symbols": ("n_symbols / greatest(word_chars, 1)", 1.0),
     "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 1.0),
     "repeats": ("n_repeat_words / greatest(n_words, 1)", 1.0),
 }
-GRID = 64
+GRID, FINEST = 64, 1e-4
+
+
+def steps(grid: int) -> np.ndarray:
+    """Cutoffs as parts of a scale: 0, then in equal ratios from FINEST to just under 1, as most measures lie near 0. They don't depend on the data."""
+    return np.concatenate(([0.0], FINEST ** (1 - np.arange(1, grid) / grid)))
 
 
 def text_stats(text: str | None, window: int = 8) -> tuple[int, int, int, int, int, int]:
@@ -69,6 +74,11 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text")).mapInArrow(run, STATS)
 
 
+def cuts_below(measure: Column, cuts: np.ndarray) -> Column:
+    """How many of the cuts reject the measure."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts.tolist())), lambda c: measure > c))
+
+
 def cutoffs(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05, grid: int = GRID) -> DataFrame:
     """(stratum, rule, cutoff, n_good, false_rejects, bound): the certified cutoff of each rule and stratum.
 
@@ -83,8 +93,8 @@ def cutoffs(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05, grid:
     rules = list(RULES)
     long = labelled.select(
         "stratum", "good",
-        F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.ceil(F.expr(RULES[r][0]) / RULES[r][1] * grid).alias("bin")) for r in rules))).alias("x"),
-    ).select("stratum", "x.rule", F.least("x.bin", F.lit(grid)).alias("bin"), "good")
+        F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), cuts_below(F.expr(RULES[r][0]), RULES[r][1] * steps(grid)).alias("bin")) for r in rules))).alias("x"),
+    ).select("stratum", "x.rule", "x.bin", "good")
     bins = long.groupBy("stratum", "rule", "bin").agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("n"))
     strata = labelled.agg(F.greatest(F.count_distinct(F.coalesce("stratum", F.lit("\0"))), F.lit(1)).alias("strata"))
 
@@ -93,14 +103,14 @@ def cutoffs(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05, grid:
         np.add.at(good, pdf["bin"].to_numpy(int), pdf["good"].to_numpy(float))
         np.add.at(bad, pdf["bin"].to_numpy(int), (pdf["n"] - pdf["good"]).to_numpy(float))
         above, caught = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
-        k = np.arange(grid - 1, -1, -1)  # cutoff k / grid rejects the bins above k
+        k = np.arange(grid - 1, -1, -1)  # cutoff k rejects the bins above k
         bound = upper_bound(above[k + 1], np.full(grid, good.sum()), delta / (len(rules) * float(pdf["strata"].iloc[0])))
         passed = int(np.argmin(np.append(bound <= alpha / len(rules), False)))
         rows = []
         if passed and caught[k[passed - 1] + 1] > 0:
             i = int(np.argmax(caught[k[:passed] + 1]))
             rule = pdf["rule"].iloc[0]
-            rows.append((pdf["stratum"].iloc[0], rule, k[i] / grid * RULES[rule][1], int(good.sum()), int(above[k[i] + 1]), float(bound[i])))
+            rows.append((pdf["stratum"].iloc[0], rule, steps(grid)[k[i]] * RULES[rule][1], int(good.sum()), int(above[k[i] + 1]), float(bound[i])))
         return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff", "n_good", "false_rejects", "bound"])
 
     return bins.join(F.broadcast(strata)).groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff double, n_good long, false_rejects long, bound double")  # strata is one row

@@ -68,6 +68,58 @@ def test_rules_keep_good_documents(spark):
     assert judge(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int")).collect() == []
 
 
+def plain_bound(k, n, level):
+    """Clopper-Pearson by bisection of the binomial tail, summed term by term."""
+    if k >= n:
+        return 1.0
+    lo, hi = 0.0, 1.0
+    for _ in range(50):
+        p = (lo + hi) / 2
+        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+        lo, hi = (p, hi) if tail > level else (lo, p)
+    return lo
+
+
+def brute_kept(rows, good, alpha, delta, grid=64):
+    """rows: (doc_id, text, stratum); good: ids to labels. Every cutoff of every rule and stratum, tried from the loosest on."""
+    cuts = [0.0] + [1e-4 ** (1 - k / grid) for k in range(1, grid)]
+    stats = {d: brute_stats(t) for d, t, _ in rows}
+    failed = {d: s[0] < 20 or 100 * s[5] > 30 * s[0] for d, s in stats.items()}
+    measures = [lambda s: s[2] / max(s[1], 1), lambda s: s[4] / max(s[3], 1), lambda s: s[5] / max(s[0], 1)]
+    held = [(d, lang) for d, _, lang in rows if d in good and not failed[d]]
+    strata = {lang for _, lang in held}
+    chosen = {}
+    for lang in strata:
+        for m, measure in enumerate(measures):
+            fine, bad = ([measure(stats[d]) for d, x in held if x == lang and good[d] == y] for y in (1, 0))
+            best = (0, None)
+            for c in reversed(cuts):
+                if plain_bound(sum(x > c for x in fine), len(fine), delta / (3 * len(strata))) > alpha / 3:
+                    break
+                best = max(best, (sum(x > c for x in bad), c), key=lambda b: b[0])
+            chosen[lang, m] = best[1]
+    rejects = lambda d, lang: any(chosen.get((lang, m)) is not None and f(stats[d]) > chosen[lang, m] for m, f in enumerate(measures))
+    return {d: not failed[d] and not rejects(d, lang) for d, _, lang in rows}, chosen
+
+
+def test_kept_is_that_of_brute_force(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows, good = [], {}
+    for d in range(1500):
+        bad, lang = r.random() < 0.25, r.choice(["en", "en", "de", None])
+        words = [word() + ("#" if r.random() < (0.2 if bad else 0.004) else "") for _ in range(r.randint(15, 70))]
+        lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+        lines += [r.choice(lines) for _ in range(r.choice([0, 1, 3]) if bad else r.random() < 0.03)]
+        rows.append((d, "\n".join(lines), lang))
+        if r.random() < 0.8:
+            good[d] = int(not bad)
+    docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, lang string, kept int").repartition(3)
+    want, chosen = brute_kept(rows, good, 0.06, 0.05)
+    got = {x.doc_id: x.kept for x in judge(docs, spark.createDataFrame(list(good.items()), "doc_id long, quality int"), alpha=0.06).collect()}
+    assert got == want and sum(c is not None for c in chosen.values()) >= 2 and 0 < sum(want.values()) < len(want)
+
+
 def toxic_corpus(n=1200, seed=4):
     r = random.Random(seed)
     words = ["".join(r.choice("aeinrst") for _ in range(r.randint(2, 7))) for _ in range(400)]
