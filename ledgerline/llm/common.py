@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +69,20 @@ def before(totals: DataFrame, group: list[str], sums: list[str]) -> DataFrame:
     return totals.select("__part", *group, *(F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"__before_{s}") for s in sums))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that, when done, gives unused memory back to the system: its worker goes on with tasks of other stages."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return tidied
+
+
 def utf8(text: Column | str) -> Column:
     """The UTF-8 bytes of a text, none for null."""
     return F.encode(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "UTF-8")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, tidy
 from .hashing import BASE, INVERSE, LANE, U, mix, powers, prefix_hashes, span_hash
 
 GRAM = 32
@@ -249,7 +249,7 @@ def repeated_spans(
         if count:
             yield flush()
 
-    found = rows.select("__doc", "__tie", "text").mapInArrow(runs, RUN)
+    found = rows.select("__doc", "__tie", "text").mapInArrow(tidy(runs), RUN)
     shared = found.groupBy("anchor").agg(F.sum("places").alias("c")).filter("c > 1").select("anchor")
     several = found.join(shared, "anchor")
     several = materialize(several if distinct else several.dropDuplicates(["doc", "at"]), "runs")
@@ -295,7 +295,7 @@ def repeated_spans(
                     yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), CUT, strict=True)], schema=CUT)
 
         cut_out = "kind int, anchor long, bucket long, buckets long, doc long, at long, n long, fdoc long, fat long, context binary"
-        return materialize(one.join(ours, ["__doc", "__tie"]).select("__doc", "__tie", "text", "wanted").mapInArrow(cut, cut_out), label)
+        return materialize(one.join(ours, ["__doc", "__tie"]).select("__doc", "__tie", "text", "wanted").mapInArrow(tidy(cut), cut_out), label)
 
     none = F.lit(None).cast("long")
     runs_wanted = lambda runs: sorted_runs(runs).select(F.lit(0).alias("kind"), "doc", "at", "n", "anchor", "buckets", none.alias("fdoc"), none.alias("fat"))
@@ -340,7 +340,7 @@ def repeated_spans(
 
     # 2. Different contexts around one anchor.
     dealt = contexts.select("anchor", "bucket", "buckets", "doc", "at", "context").repartition("anchor", "bucket").sortWithinPartitions("anchor", "bucket", "doc", "at")
-    sorted_ = materialize(dealt.mapInArrow(sort, OUT), "sorted")
+    sorted_ = materialize(dealt.mapInArrow(tidy(sort), OUT), "sorted")
     covered = compared.filter("same").select("doc", "at", "n").union(sorted_.filter("k1 is null").select("doc", "at", "n"))
     hot = sorted_.filter("k1 is not null")
     several_buckets = hot.groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2")
@@ -395,7 +395,7 @@ def removals(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_co
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3]), pa.array(columns[4], pa.binary())], names=KEPT)
 
-    return repeated_spans(docs, length, id_col, text_col, **settings).mapInArrow(judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return repeated_spans(docs, length, id_col, text_col, **settings).mapInArrow(tidy(judge), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
@@ -420,7 +420,7 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
                 new[count_col] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(count_col).type)
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in columns], names=columns)
 
-    return repeated_spans(docs, length, id_col, text_col, columns).mapInArrow(cut, docs.schema)
+    return repeated_spans(docs, length, id_col, text_col, columns).mapInArrow(tidy(cut), docs.schema)
 
 
 KEPT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]

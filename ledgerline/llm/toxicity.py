@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 WINDOW = 64
 #: Size of the ordinary dictionary and its segments, largest size of the toxic one and its segments, in bytes.
 ORDINARY, TOXIC = (65_536, 24), (8192, 16)
@@ -181,7 +183,7 @@ def scores(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), tex
             score = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], score_col])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 3000, fold: int = 1) -> DataFrame:
