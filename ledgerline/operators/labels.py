@@ -16,7 +16,7 @@ OFFICIALS = ("geh", "wirkl")
 WIDOWS = ("ww", "wwe", "vw", "verw")
 SITES = ("Baustelle", "Baustellen", "Bauſtelle", "Bauſtellen", "Neubau", "Umbau", "Rohbau", "Rohbauten")
 
-#: What is asked of each token; the names are those of the attributes.
+#: What is asked of each token, by the name of the attribute. Places in sentences of four are no matter of the token: see attributes().
 TESTS: dict[str, Callable[[str], bool | str]] = {
     "repeated_name": lambda w: w.startswith(("—", "-")),
     "pens": lambda w: w.lower() in PENSIONED,
@@ -35,8 +35,6 @@ TESTS: dict[str, Callable[[str], bool | str]] = {
     "close": lambda w: w.endswith(")"),
     "street": lambda w: w.endswith(("str", "ſtr")),
     "site": lambda w: w in SITES,
-    "first_of_two": lambda w: False,  # of use only as an attribute of sentences of four tokens
-    "second_of_two": lambda w: False,
 }
 
 
