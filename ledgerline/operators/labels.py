@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import let
+
 # Spellings that mark pensioners, officials, widows and building sites.
 PENSIONED = ("pens", "penſ")
 OFFICIALS = ("geh", "wirkl")
@@ -58,6 +60,10 @@ def attributes(tokens: Sequence[str], reach: int = 2) -> list[dict[str, float]]:
     return out
 
 
+#: Words whose attributes a task keeps, and tokens whose weights it sums at once.
+KNOWN, BLOCK = 20_000, 4096
+
+
 @dataclass
 class Crf:
     """Weights of a trained model; small, and sent with the tasks."""
@@ -67,28 +73,65 @@ class Crf:
     state: np.ndarray  # attributes, labels
     move: np.ndarray  # labels, labels
 
-    def scores(self, tokens: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(tokens), len(self.labels)))
-        for t, own in enumerate(attributes(tokens)):
-            for name, w in own.items():
-                if w and (k := self.index.get(name)) is not None:
-                    out[t] += w * self.state[k]
+    def __post_init__(self) -> None:
+        self.known: dict[str, list[list[int]]] = {}
+
+    def of(self, word: str, reach: int = 2) -> list[list[int]]:
+        """The rows of a word's attributes at each distance from the token they are said of; kept for up to KNOWN words."""
+        if word not in self.known:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            names = [name for name, w in word_attributes(word) if w]
+            self.known[word] = [[k for name in names if (k := self.index.get(f"{d}:{name}")) is not None] for d in range(-reach, reach + 1)]
+        return self.known[word]
+
+    def scores(self, tokens: Sequence[str], reach: int = 2) -> np.ndarray:
+        """The sums of the weights of attributes(), in their order."""
+        out, n = np.empty((len(tokens), len(self.labels))), len(tokens)
+        places = {k: self.index[k] for k in ("BOS", "EOS", "first_of_two", "second_of_two") if k in self.index}
+        for low in range(0, n, BLOCK):
+            flat, ends = [], []
+            high = min(n, low + BLOCK)
+            near = [self.of(w) for w in tokens[max(0, low - reach) : high + reach]]
+            base = max(0, low - reach)
+            for i in range(low, high):
+                for j in range(max(0, i - reach), min(n, i + reach + 1)):
+                    flat += near[j - base][j - i + reach]
+                here = (("BOS", i == 0), ("EOS", i == n - 1), ("first_of_two", n == 4 and i == 1), ("second_of_two", n == 4 and i == 2))
+                flat += [places[k] for k, on in here if on and k in places]
+                ends.append(len(flat))
+            of, rows = np.repeat(np.arange(high - low), np.diff(ends, prepend=0)), np.array(flat, int)
+            for y in range(len(self.labels)):  # bincount adds in the rows' order
+                out[low:high, y] = np.bincount(of, self.state[rows, y], high - low)
         return out
 
     def predict(self, tokens: Sequence[str]) -> list[str]:
         """The likeliest sequence of labels (Viterbi)."""
-        if not len(tokens):
-            return []
-        s = self.scores(tokens)
-        best, back = s[0], []
-        for t in range(1, len(s)):
-            through = best[:, None] + self.move
-            back.append(through.argmax(axis=0))
-            best = through.max(axis=0) + s[t]
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return [self.labels[k] for k in reversed(path)]
+        return self.predict_all([tokens])[0]
+
+    def predict_all(self, sentences: Sequence[Sequence[str]]) -> list[list[str]]:
+        """predict() of each sentence; those of one length together, for about BLOCK tokens at a time."""
+        out: list[list[str]] = [[] for _ in sentences]
+        lengths: dict[int, list[int]] = {}
+        for k, tokens in enumerate(sentences):
+            if len(tokens):
+                lengths.setdefault(len(tokens), []).append(k)
+        for n, which in lengths.items():
+            step = max(1, BLOCK // n)
+            for low in range(0, len(which), step):
+                some = which[low : low + step]
+                s = np.stack([self.scores(sentences[k]) for k in some], axis=1)  # place, sentence, label
+                best, back = s[0], []
+                for t in range(1, n):
+                    through = best[:, :, None] + self.move
+                    back.append(through.argmax(axis=1).astype(np.int32))
+                    best = through.max(axis=1) + s[t]
+                path, row = [best.argmax(axis=1)], np.arange(len(some))
+                for b in reversed(back):
+                    path.append(b[row, path[-1]])
+                for k, labels in zip(some, np.stack(path[::-1], axis=1).tolist(), strict=True):
+                    out[k] = [self.labels[y] for y in labels]
+        return out
 
 
 def train(sentences: Iterable[tuple[Sequence[str], Sequence[str]]], c1: float = 0.1, c2: float = 0.1, iterations: int = 1000, memory: int = 10) -> Crf:
@@ -188,7 +231,8 @@ def labeller(model: Crf) -> Callable[[Column | str], Column]:
 
     @F.pandas_udf("array<string>")
     def predict(tokens: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else model.predict(list(t)) for t in tokens])
+        found = model.predict_all([() if t is None else list(t) for t in tokens])
+        return pd.Series([None if t is None else y for t, y in zip(tokens, found, strict=True)], dtype=object)
 
     return predict
 
@@ -214,7 +258,11 @@ def reduce_labels(tokens: Column | str, labels: Column | str) -> Column:
 
     PA runs before an A run are what is said of it: joined as they are and split again at ``' .'``. Other labels are dropped.
     """
-    found = runs(tokens, labels)
+    return let(runs(tokens, labels), categories)
+
+
+def categories(found: Column) -> Column:
+    """CATEGORIES of runs()."""
     of = lambda label: F.transform(F.filter(found, lambda r: r["label"] == label), lambda r: r["value"])
     kind = "array<struct<value:string, labels:array<string>>>"
     start = F.struct(F.lit("").alias("said"), F.array().cast(kind).alias("out"))

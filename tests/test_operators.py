@@ -253,3 +253,24 @@ def test_interpolation_recovers_a_pareto_distribution():
     q = np.array([0.1, 0.45, 0.7, 0.85, 0.95, 0.99, 0.999])
     assert np.allclose(d.top_share(q), (1 - q) ** (1 - 1 / a), rtol=2e-3)
     assert np.allclose(d.threshold(q), (1 - q) ** (-1 / a), rtol=2e-2)
+
+
+def test_sentences_labelled_together_get_the_labels_of_each(monkeypatch):
+    from ledgerline.operators import labels
+
+    made = [(["START", f"Customer#{k}", ",", w, ".", "END"], ["START", "N", "D", "O", "O", "END"]) for k, w in enumerate(("BUILDING", "MACHINERY", "FURNITURE"))]
+    model = labels.train(made)
+    texts = [[], ["Et"], ["START", "Customer#9", ",", "BUILDING", ".", "END"], ["a"] * 4, ["START", "geh", ",", "12"], ["x", ",", "MACHINERY", "."] * 9]
+    calls = []
+    real = labels.word_attributes
+    monkeypatch.setattr(labels, "word_attributes", lambda w: calls.append(w) or real(w))
+    monkeypatch.setattr(labels, "BLOCK", 5)  # sentences longer than a block too
+    got = model.predict_all(texts * 3)
+    assert len(calls) == len(set(calls))  # a word's attributes are found once
+    for tokens, y in zip(texts * 3, got, strict=True):
+        s = np.zeros((len(tokens), len(model.labels)))
+        for t, own in enumerate(labels.attributes(tokens)):
+            for name, w in own.items():
+                if w and name in model.index:
+                    s[t] += w * model.state[model.index[name]]
+        assert (model.scores(tokens) == s).all() and y == model.predict(tokens)
