@@ -73,19 +73,27 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, l
     """(keys, run, label, n): stretches of equal labels in each group's order, numbered from 1, with their number of rows.
 
     A run that nothing ends, the group's last, is left out unless ``last``. NULL labels are equal. Partitions first
-    make runs of their own; where one goes on in the next partition the two are merged.
+    make runs of their own. Only groups that go over several partitions, fewer than there are of these, need more: their stretches'
+    first and last runs say how many came before and which are to be merged. All other runs stay where they are.
     """
     local = Window.partitionBy("__part", "__group").orderBy(*order)
     same = F.lag(F.struct(label)).over(local).eqNullSafe(F.struct(label))
     marked = ranged(df.select(*dict.fromkeys([*keys, *order, label])), keys, order).withColumn("__new", F.when(same, 0).otherwise(1))
     marked = marked.withColumn("__i", F.sum("__new").over(local.rowsBetween(FIRST, NOW)))
-    pieces = staged(marked.groupBy("__part", "__group", "__i").agg(F.first(F.struct(F.col(label).alias("label"))).alias("__l"), F.count("*").alias("n")))
-    ends = pieces.groupBy("__group", "__part").agg(F.min_by("__l", "__i").alias("__first"), F.max_by("__l", "__i").alias("__last"), F.max("__i").alias("__m"))
+    pieces = marked.groupBy("__part", "__group", "__i").agg(F.first(F.struct(F.col(label).alias("label"))).alias("__l"), F.count("*").alias("n"))
+    pieces = staged(pieces.withColumn("__m", F.max("__i").over(Window.partitionBy("__part", "__group"))))
+    # Partitions are ranges, so a group that goes over several is the first or last one of each: two rows a partition, hence the broadcasts.
+    bounds = pieces.groupBy("__part").agg(F.min("__group").alias("lo"), F.max("__group").alias("hi"))
+    wide = bounds.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("__group")).groupBy("__group").agg(F.count("*").alias("c")).filter("c > 1").select("__group")
+    ends = pieces.filter("__i = 1 or __i = __m").join(F.broadcast(wide), "__group").groupBy("__group", "__part")
+    ends = ends.agg(F.min_by("__l", "__i").alias("__first"), F.max_by("__l", "__i").alias("__last"), F.max("__m").alias("__m"))
     over = Window.partitionBy("__group").orderBy("__part")
     linked = ends.withColumn("__on", F.when(F.lag("__last").over(over) == F.col("__first"), 1).otherwise(0)).withColumn("__m", F.col("__m") - F.col("__on"))
     shift = F.coalesce(F.sum("__m").over(over.rowsBetween(FIRST, -1)), F.lit(0)) - F.col("__on")
     shifts = linked.select("__group", "__part", shift.alias("__shift"), F.sum("__m").over(Window.partitionBy("__group")).alias("__runs"))
-    numbered = pieces.join(shifts, ["__group", "__part"]).withColumn("run", F.col("__i") + F.col("__shift"))
-    kept = numbered if last else numbered.filter(F.col("run") < F.col("__runs"))
-    merged = kept.groupBy("__group", "run").agg(F.first("__l").alias("__l"), F.sum("n").alias("n"))
+    numbered = pieces.join(F.broadcast(shifts), ["__group", "__part"], "left").withColumn("run", F.col("__i") + F.coalesce("__shift", F.lit(0)))
+    kept = numbered if last else numbered.filter(F.col("run") < F.coalesce("__runs", "__m"))
+    edge = F.col("__shift").isNotNull() & F.col("__i").isin(1, F.col("__m"))
+    merged = kept.filter(edge).groupBy("__group", "run").agg(F.first("__l").alias("__l"), F.sum("n").alias("n"))
+    merged = kept.filter(~edge).select("__group", "run", "__l", "n").union(merged)
     return merged.select(*(F.col(f"__group.{k}").alias(k) for k in keys), F.col("run").cast("int").alias("run"), F.col("__l.label").alias("label"), "n")

@@ -79,3 +79,24 @@ def test_runs_are_merged_over_partitions(spark, parts, last):
                 out.append([x, 1])
         want |= {(g, k, x, n) for k, (x, n) in enumerate(out if last else out[:-1], 1)}
     assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_runs_inside_a_partition_are_neither_shuffled_nor_broadcast(spark, parts, capsys):
+    """What is joined and merged are stretches of groups that go over partitions: their number doesn't grow with the runs."""
+    data = [*rows(), *((None, 1000 + i, None, "xy"[i % 5 == 0]) for i in range(200))]
+    got = scans.runs(spark.createDataFrame(data, SCHEMA).repartition(3), [], ["i"], "l", True)
+    got.explain()
+    plan = capsys.readouterr().out
+    outer = plan[plan.index("Union\n") :].splitlines()[1:]  # the first of the two is what stays where it is
+    depth = next(k for k, line in enumerate(outer) if "BroadcastHashJoin" in line)
+    assert not any("Exchange" in line or "Sort" in line for line in outer[:depth]) and "LeftOuter, BuildRight" in outer[depth]
+    below = outer[depth + 1 :]
+    streamed = below[: next(k for k, line in enumerate(below) if "BroadcastExchange" in line)]
+    assert any("FileScan" in line for line in streamed) and not any("Exchange" in line for line in streamed)
+    labels, want = [d[3] for d in sorted(data, key=lambda d: d[1])], []
+    for x in labels:
+        if want and want[-1][0] == x:
+            want[-1][1] += 1
+        else:
+            want.append([x, 1])
+    assert [tuple(x) for x in got.orderBy("run").collect()] == [(k, x, n) for k, (x, n) in enumerate(want, 1)]
