@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import min_x, points, rotated_sides
 from ..functions.text import leading_number, without
+from ..sources.staging import staged
 from .match import best_matches
 from .scans import forward_fill, medians
 
@@ -74,6 +75,7 @@ def tag_indented(lines: DataFrame, inflate_std: float = 1, ignore_nonstd_lines:
     counted = ~F.col("linetype").isin(NUMBERED, STREET) if ignore_nonstd_lines else F.lit(True)
     spread = lines.filter(counted).groupBy(*COLUMN).agg(F.stddev_pop("minx").alias("__spread"))
     limits = spread.join(medians(lines.filter(counted), COLUMN, "minx", "__median"), COLUMN).select(*COLUMN, (F.col("__median") + inflate_std * F.col("__spread")).alias("__limit"))
+    limits = staged(limits)  # its size is known then, so few columns, which may hold all lines, do not have these meet by column
     right = counted & F.col("linetype").isin(ENTRY, NUMBERED) & (F.col("minx") > F.col("__limit"))
     return lines.join(limits, COLUMN, "left").withColumn("linetype", F.when(right, INDENTED).otherwise(F.col("linetype"))).drop("__limit")
 

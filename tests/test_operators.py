@@ -51,6 +51,16 @@ def test_names_and_indents(spark):
     assert fixed.count() == 20 and fixed.columns == rows.columns
 
 
+def test_indents_do_not_gather_a_columns_lines(spark, capsys):
+    """All lines are in three columns here; they are not dealt out by column."""
+    rows = spark.range(3000).select(F.lit(0).alias("page_idx"), (F.col("id") % 3).alias("col_idx"), F.col("id").alias("line_idx"), (F.col("id") % 100).cast("double").alias("minx"), F.lit(lines.ENTRY).alias("linetype"))
+    got = lines.tag_indented(rows)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert got.filter(F.col("linetype") == lines.INDENTED).select(F.min("minx"), F.count("*")).first()[:] == (79.0, 630)
+
+
 def test_reduced_labels(spark):
     t, y = "Raſt , Maurer . x".split(), ["N", "D", "O", "O", "END"]
     df = spark.createDataFrame([(["START", *t], ["START", *y])], "t array<string>, y array<string>")
