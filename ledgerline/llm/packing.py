@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, tidy
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -124,8 +126,10 @@ class Words:
 
 @functools.cache
 def words_of(path: str, size: int) -> Words:
-    """One per Python worker, kept from task to task."""
-    return Words(path, size)
+    """One per Python worker, kept from task to task, without the memory that only its making takes."""
+    words = Words(path, size)
+    give_back()
+    return words
 
 
 def pack(
@@ -180,4 +184,4 @@ def pack(
         if names:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), SCHEMA)

@@ -140,3 +140,14 @@ def test_mix_follows_the_weights_of_many_sources(spark):
     for k, r in enumerate(got[:2000], 1):
         hot += r.source == "hot"
         assert r.slot == k - 1 and abs(hot - 0.3 * k) < 1 + 1e-9
+
+
+def test_a_tokenizer_gives_back_what_its_making_took(monkeypatch):
+    import public_tokenizers
+
+    from ledgerline.llm import packing
+
+    calls = []
+    monkeypatch.setattr(packing, "give_back", lambda: calls.append(1))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.words_of(path, 17) is packing.words_of(path, 17) and calls == [1]
