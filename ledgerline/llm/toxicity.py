@@ -15,16 +15,20 @@ from .common import tidy
 
 WINDOW = 64
 #: Size of the ordinary dictionary and its segments, largest size of the toxic one and its segments, in bytes.
-ORDINARY, TOXIC = (65_536, 24), (8192, 16)
+ORDINARY, TOXIC = (262_144, 24), (8192, 16)
 #: Bytes of toxic windows for each byte of the toxic dictionary, as what fewer windows have in common takes less of it, and its least size.
 SHARE, LEAST = 4, 2048
 #: Rounds of training: the size of the windows, and the percentile of the ordinary windows' gains that toxic windows must exceed to stay.
 ROUNDS = ((64, 90), (24, 98))
+#: Gains in bytes that windows are counted at.
+STEPS = (1, 2, 3, 4, 5, 7)
+#: The last bytes before a trained dictionary's content.
+OFFSETS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
 
 @dataclass
 class Model:
-    """Everything a task needs; some 110 kB."""
+    """Everything a task needs; some 400 kB."""
 
     toxic: bytes
     ordinary: bytes
@@ -52,13 +56,13 @@ def trained_toxic(samples: Sequence[bytes]) -> bytes:
 
 
 def trained(samples: Sequence[bytes], size: int, segment: int) -> bytes:
-    """A zstandard dictionary of the samples; the samples themselves where they fit, or where the trainer finds them too few."""
+    """The content of a zstandard dictionary of the samples, without its tables; the samples themselves where they fit, or where the trainer finds them too few."""
     import zstandard as z
 
     if sum(map(len, samples)) <= size:
         return b"".join(samples)
     try:
-        return z.train_dictionary(size, list(samples), k=segment, d=6).as_bytes()
+        return z.train_dictionary(size, list(samples), k=segment, d=6).as_bytes().split(OFFSETS, 1)[-1]
     except z.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -112,10 +116,10 @@ def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str]) -> tuple[b
 
 
 def features(gains: np.ndarray) -> list[float]:
-    """What a document's windows say: how many gain 2, 3 and 5 bytes or more, the share of 3 or more, the largest gain, the number."""
+    """What a document's windows say: how many gain each of STEPS or more, the share of 3 or more, the largest gain, the number."""
     if not len(gains):
-        return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
-    over = [np.log1p((gains >= k).sum()) for k in (2, 3, 5)]
+        return [1.0] + [0.0] * (len(STEPS) + 3)
+    over = [np.log1p((gains >= k).sum()) for k in STEPS]
     return [1.0, *over, np.log1p(100 * (gains >= 3).mean()), gains.max() / 4, np.log1p(len(gains))]
 
 
@@ -142,7 +146,7 @@ def train(toxic: Sequence[str], ordinary: Sequence[str], odds: float = 1.0) -> M
     (a, b), (c, d) = cut(toxic), cut(ordinary)
     if not (a and c):
         share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
-        return Model(b"", b"", (float(np.log(share / (1 - share))), 0, 0, 0, 0, 0, 0))
+        return Model(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * (len(STEPS) + 3)))
     tox, plain = train_dictionaries(a, c)
     gains = Gains(tox, plain)
     x = np.array([features(gains.of(windows(t))) for t in (*b, *d)])
